@@ -24,15 +24,14 @@ UNKNOWN = "Unknown/Incomplete Status"
 SUCCESS, FAILURE = "Success", "Failure"
 
 
-def _status() -> Column:
-    return F.upper("status")
+KIND, OK = "_kind", "_ok"
 
 
 def kind() -> Column:
     """refund, void, capture, auth or other; the first that applies."""
     return (
         F.when(F.col("is_refund"), "refund")
-        .when(F.col("is_void") | (_status() == CANCEL_STATUS), "void")
+        .when(F.col("is_void") | (F.upper("status") == CANCEL_STATUS), "void")
         .when(F.col("is_capture"), "capture")
         .when(F.col("is_auth"), "auth")
         .otherwise("other")
@@ -40,23 +39,24 @@ def kind() -> Column:
 
 
 def succeeded(partial_refunds: bool = True) -> Column:
-    """True for a success; never NULL."""
+    """True for a success, never NULL; reads the kind from the ``_kind`` column."""
     refunds = REFUND_STATUSES if partial_refunds else REFUND_STATUSES[:1]
+    status, of_kind = F.upper("status"), F.col(KIND)
     by_status = (
-        F.when(kind() == "refund", _status().isin(*refunds))
-        .when(kind() == "void", _status() == VOID_STATUS)
-        .otherwise(_status() == APPROVED_STATUS)
+        F.when(of_kind == "refund", status.isin(*refunds))
+        .when(of_kind == "void", status == VOID_STATUS)
+        .otherwise(status == APPROVED_STATUS)
     )
     return F.coalesce((F.col("response_code") == APPROVED_CODE) | by_status, F.lit(False))
 
 
-def outcome(partial_refunds: bool = True) -> Column:
-    return F.when(succeeded(partial_refunds), SUCCESS).otherwise(FAILURE)
+def outcome() -> Column:
+    return F.when(F.col(OK), SUCCESS).otherwise(FAILURE)
 
 
-def label(partial_refunds: bool = True) -> Column:
-    """Readable label; the ones quoting the response code are NULL without a code."""
-    ok, code = succeeded(partial_refunds), F.col("response_code")
+def label() -> Column:
+    """Readable label from ``_kind`` and ``_ok``; the ones quoting the response code are NULL without a code."""
+    ok, code, of_kind = F.col(OK), F.col("response_code"), F.col(KIND)
     alone, merged = F.col("has_auth_in_group") == 0, F.col("has_auth_in_group") == 1
 
     def quoting(text: str) -> Column:
@@ -71,14 +71,14 @@ def label(partial_refunds: bool = True) -> Column:
         F.when(code == APPROVED_CODE, GENERAL_CODE_OK)
         .when(ok, GENERAL_STATUS_OK)
         .when((code != APPROVED_CODE) & (code != ""), quoting(GENERAL_CODE_BAD))
-        .when(_status().isin(*FAILED_STATUSES), GENERAL_STATUS_BAD)
+        .when(F.upper("status").isin(*FAILED_STATUSES), GENERAL_STATUS_BAD)
         .otherwise(UNKNOWN)
     )
     return (
-        F.when(kind() == "refund", F.when(ok, REFUND_OK).otherwise(REFUND_BAD))
-        .when(kind() == "void", F.when(ok, VOID_OK).otherwise(VOID_BAD))
-        .when(kind() == "capture", capture)
-        .when(kind() == "auth", F.when(ok, AUTH_OK).otherwise(quoting(AUTH_BAD)))
+        F.when(of_kind == "refund", F.when(ok, REFUND_OK).otherwise(REFUND_BAD))
+        .when(of_kind == "void", F.when(ok, VOID_OK).otherwise(VOID_BAD))
+        .when(of_kind == "capture", capture)
+        .when(of_kind == "auth", F.when(ok, AUTH_OK).otherwise(quoting(AUTH_BAD)))
         .otherwise(other)
     )
 

@@ -45,9 +45,12 @@ def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) ->
     own = group_facts(payment_only)
     others = group_facts(keyed)
     order, payment = (F.col(c) for c in GROUP)
-    shared = others.join(payment_only.select(*GROUP).distinct(), list(GROUP), "left_semi")
+    # Inner joins to distinct keys rather than semi joins: those would be pushed below the aggregate,
+    # which then could not be shared with the keyed side.
+    shared = others.join(payment_only.select(*GROUP).distinct(), list(GROUP))
     linked = links.select("_link_order", "_link_payment").distinct()
-    shared = shared.join(linked, (order == F.col("_link_order")) & (payment == F.col("_link_payment")), "left_semi")
+    shared = shared.join(linked, (order == F.col("_link_order")) & (payment == F.col("_link_payment")))
+    shared = shared.select(*GROUP, *GROUP_COLUMNS)
     return merge_facts(others, own), merge_facts(own, shared)
 
 
@@ -99,14 +102,21 @@ def merged_auth_rows(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(~(F.col("is_auth") & _both()), F.lit(False)))
 
 
+def with_outcome(df: DataFrame, partial_refunds: bool = True) -> DataFrame:
+    """Add the helper columns ``_kind`` and ``_ok``, which need the gateway's own columns only."""
+    return df.withColumn(o.KIND, o.kind()).withColumn(o.OK, o.succeeded(partial_refunds))
+
+
 def classify(df: DataFrame, success_only: bool = True, partial_refunds: bool = True) -> DataFrame:
     """Add label and outcome; by default only successes are kept."""
+    if o.OK not in df.columns:
+        df = with_outcome(df, partial_refunds)
     if success_only:
-        df = df.where(o.succeeded(partial_refunds))
+        df = df.where(o.OK)
     return df.withColumns({
-        "transaction_analysis": o.label(partial_refunds),
-        "transaction_outcome": o.outcome(partial_refunds),
-    })
+        "transaction_analysis": o.label(),
+        "transaction_outcome": o.outcome(),
+    }).drop(o.KIND, o.OK)
 
 
 def outcome_summary(df: DataFrame) -> DataFrame:

@@ -39,12 +39,13 @@ def unify(tables: dict[str, DataFrame], flavour: str = "script",
 
 def _analysed(rows: DataFrame, options: QueryOptions) -> DataFrame:
     """Merge, classify and filter rows that have their group columns."""
+    rows = lc.with_outcome(rows, options.partial_refunds)
+    if options.excluded_kinds():
+        rows = rows.where(~F.col(o.KIND).isin(options.excluded_kinds()))
     rows = lc.final_columns(rows, options.merge_auth_capture, options.use_auth_rrn, options.use_auth_code)
     if options.merge_auth_capture:
         rows = lc.drop_merged_auth(rows)
-    rows = lc.classify(rows, options.success_only, options.partial_refunds)
-    if options.excluded_kinds():
-        rows = rows.where(~o.kind().isin(options.excluded_kinds()))
+    rows = lc.classify(rows, options.success_only)
     if options.min_amount is not None:
         rows = rows.where(F.col("amount") >= F.lit(options.min_amount))
     if options.max_amount is not None:
@@ -106,7 +107,7 @@ def stage_funnel(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -
         "1 gateway rows": g.gateway_rows(tables, options.flavour),
         "2 linked": linked,
         "3 merged": merged,
-        "4 successful": merged.where(o.succeeded(options.partial_refunds)),
+        "4 successful": lc.classify(merged, partial_refunds=options.partial_refunds),
         "5 view": view,
         "6 matched": view.where(F.col(MATCH_TYPE).isNotNull()),
     }

@@ -129,6 +129,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     used = {n: df for n, df in frames.items() if f"FROM {n}" in text or f"JOIN {n}" in text}
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in used:
         text = text.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
     return spark.sql(text, **used)
