@@ -36,7 +36,7 @@ SPREADSHEET_LAST_DAY = 106751
 MOJIBAKE = {"Ã˜": "ا", "Ù†": "ن", "Ø¹": "ع", "Ø§": "ا", "Ù…": "م"}
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"'}
 
-ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
 
 # ---------------------------------------------------------------------------
 
@@ -100,11 +100,16 @@ def spreadsheet_date(c: Column, leap_adjust: bool = True) -> Column:
 
 def clean_date(c: Column, source: str | None = None, excel_leap_adjust: bool = True) -> Column:
     """Date: day number, then the source's formats, then the general ones, then ISO 8601."""
-    formats = dict.fromkeys(SOURCE_DATE_FORMATS.get(source or "", ()) + DATE_FORMATS)
-    attempts = [spreadsheet_date(c, excel_leap_adjust)]
-    attempts += [F.when(c.rlike(_shape(f)), F.try_to_date(c, f)) for f in formats]
-    attempts.append(F.when(c.rlike(ISO_DATE), c.try_cast("date")))
-    return F.when(~is_null_token(c), F.coalesce(*attempts))
+    by_shape: dict[str, list[str]] = {}
+    for fmt in dict.fromkeys(SOURCE_DATE_FORMATS.get(source or "", ()) + DATE_FORMATS):
+        by_shape.setdefault(_shape(fmt), []).append(fmt)
+    # Shapes exclude each other, so only the order of formats within one matters. The ISO shape
+    # is wider than the one with a full time; what that one rejects is no ISO date either.
+    parsed = F
+    for shape, formats in by_shape.items():
+        parsed = parsed.when(c.rlike(shape), F.coalesce(*[F.try_to_date(c, f) for f in formats]))
+    parsed = parsed.when(c.rlike(ISO_DATE), c.try_cast("date"))
+    return F.when(~is_null_token(c), F.coalesce(spreadsheet_date(c, excel_leap_adjust), parsed))
 
 
 def clean_time(c: Column, source: str | None = None) -> Column:
