@@ -27,7 +27,7 @@ ALIASES = {"order": "order_id", "pay": "payment_online_transaction_id", "auth":
 def build(spark, **rows) -> dict:
     """Frames of all seven sources; rows are dicts, ``order``/``pay``/``auth`` are short names."""
     out = {}
-    for source in DEFAULTS:
+    for source in DEFAULTS if rows.keys() != {"bank"} else ["bank"]:
         schema = StructType([f for f in table_schema(default_spec(source)) if f.nullable])
         data = []
         for row in rows.get(source, []):

@@ -12,7 +12,11 @@ PAY = {"order": 1, "pay": "p1", "status": "Approved", "rrn": "R", "auth": "A"}
 
 
 def match(spark, bank, pay=PAY, **kw):
-    df = view(spark, QueryOptions(flavour="script", **kw), checkout_v1=[pay], bank=bank, **linked(1))
+    options = QueryOptions(**kw)
+    tx = spark.createDataFrame(
+        [(pay["rrn"], pay["auth"], Decimal("100.00"), DAY)],
+        "final_rrn string, final_authorization_code string, amount decimal(18,2), transaction_date date")
+    df = rc.reconcile(tx, build(spark, bank=bank)["bank"], options.tiers(), options.blank_keys_match)
     return sorted((r["bank_match_type"] for r in df.collect()), key=str)
 
 
@@ -105,7 +109,7 @@ def test_against_brute_force(spark, chosen, blank):
         want += hits or [(*t, None, None, None, None)]
 
     tx_df = spark.createDataFrame(tx, "final_rrn string, final_authorization_code string, amount decimal(18,2), transaction_date date")
-    bank_df = build(spark)["bank"].select("*").unionByName(spark.createDataFrame(
+    bank_df = build(spark, bank=[])["bank"].unionByName(spark.createDataFrame(
         bank, "rrn string, authorization_code string, transaction_amount decimal(18,2), transaction_date date"),
         allowMissingColumns=True)
     got = rc.reconcile(tx_df, bank_df, tiers, blank).select(*tx_df.columns, "bank_rrn", "bank_auth_code", "bank_amount", rc.MATCH_TYPE)
