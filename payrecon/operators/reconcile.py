@@ -98,11 +98,11 @@ def match_pairs(signatures: DataFrame, bank: DataFrame, tiers: Sequence[Tier] =
                 blank_keys_match: bool = True) -> DataFrame:
     """Every (signature, bank line) pair that reaches a tier, with the tier's label.
 
-    The condition is an OR of key equalities under an amount tolerance, which as one join has no hash key.
-    It is split into two equi-joins: pairs with equal RRN, and pairs with equal authorisation code but not
-    equal RRN. An amount bucket is part of both keys: it is twice the tolerance wide, so that a bank line
-    meets exactly two neighbouring buckets, a transaction one. That spreads popular and blank keys and keeps
-    the pairs compared close to the pairs that match.
+    The condition is an OR of key equalities under an amount tolerance, which as such has no hash key. Here both
+    sides are listed once per kind of key (RRN, authorisation code) and joined on kind, key and amount bucket;
+    a pair equal in both is taken from the RRN side only. A bucket is twice the tolerance wide, so a bank line
+    belongs to exactly two neighbouring ones and a transaction to one. That spreads popular and blank keys, and
+    keeps the pairs compared close to the pairs that match. Both inputs are read and shuffled once.
     """
     active = reachable(tiers)
     widest = max(t.tolerance for t in active)
@@ -122,24 +122,28 @@ def match_pairs(signatures: DataFrame, bank: DataFrame, tiers: Sequence[Tier] =
 
     label = reduce(lambda c, t: c.when(reaches(t), t.label), active[1:], F.when(reaches(active[0]), active[0].label))
 
-    cents = _cents(F.col("amount"))
-    left = signatures.where(F.col("amount").isNotNull()).withColumn("_bucket", cents - F.pmod(cents, F.lit(width)))
-    low = _cents(F.col("bank_amount")) - reach
+    # Which equalities to look for: a tier that asks for both keys is found by either.
+    kinds = [k for k, wanted in (("rrn", any(not t.auth for t in active)), ("auth", any(not t.rrn for t in active)))
+             if wanted] or ["rrn"]
+
+    def keys(df: DataFrame, of_kind: dict[str, Column], buckets: list[Column], prefix: str) -> DataFrame:
+        entries = [F.struct(F.lit(k).alias(f"{prefix}by"), of_kind[k].alias(f"{prefix}key"), b.alias(f"{prefix}bucket"))
+                   for k in kinds for b in buckets]
+        return df.select("*", F.inline(F.array(*entries))).where(
+            F.col(f"{prefix}key").isNotNull() & F.col(f"{prefix}bucket").isNotNull())
+
+    cents, low = _cents(F.col("amount")), _cents(F.col("bank_amount")) - reach
     first = low - F.pmod(low, F.lit(width))
-    right = bank.where(F.col("bank_amount").isNotNull()).withColumn(
-        "_bank_bucket", F.explode(F.array(first, first + width)))
-
-    def joined(equal: Column, extra: Column) -> DataFrame:
-        on = equal & (F.col("_bucket") == F.col("_bank_bucket")) & (gap <= F.lit(widest)) & extra
-        return left.join(right, on).withColumn(MATCH_TYPE, label).where(F.col(MATCH_TYPE).isNotNull())
-
-    branches = []
-    if any(not t.auth for t in active):
-        branches.append(joined(rrn, F.lit(True)))
-    if any(not t.rrn for t in active) or not branches:
-        apart = ~F.coalesce(rrn, F.lit(False)) if branches else F.lit(True)
-        branches.append(joined(auth, apart))
-    return reduce(DataFrame.unionByName, branches).drop("_bucket", "_bank_bucket")
+    left = keys(signatures, {"rrn": _key(F.col("final_rrn"), blank_keys_match),
+                             "auth": _key(F.col("final_authorization_code"), blank_keys_match)},
+                [cents - F.pmod(cents, F.lit(width))], "_")
+    right = keys(bank, {"rrn": F.col("bank_rrn"), "auth": F.col("bank_auth_code")}, [first, first + width], "_bank_")
+    on = ((F.col("_by") == F.col("_bank_by")) & (F.col("_key") == F.col("_bank_key"))
+          & (F.col("_bucket") == F.col("_bank_bucket")) & (gap <= F.lit(widest)))
+    if len(kinds) == 2:
+        on &= (F.col("_by") == "rrn") | ~F.coalesce(rrn, F.lit(False))
+    pairs = left.join(right, on).withColumn(MATCH_TYPE, label).where(F.col(MATCH_TYPE).isNotNull())
+    return pairs.drop(*[f"{p}{c}" for p in ("_", "_bank_") for c in ("by", "key", "bucket")])
 
 
 def reconcile(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True,
