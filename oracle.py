@@ -175,7 +175,8 @@ ESSENTIAL = COMMON + ", final_rrn, final_authorization_code, transaction_analysi
 TIER_SUMMARY = ("\nSELECT gateway_source, bank_match_type, count(*) AS n_rows, "
                 "CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount FROM v GROUP BY ALL")
 FLAG_SUMMARY = "\nSELECT gateway_source, status, is_auth, is_capture, is_refund, is_void, count(*) AS n_rows FROM u GROUP BY ALL"
-LABEL_ROWS = f"\nSELECT {KEYS}, final_rrn, final_authorization_code, transaction_analysis, transaction_outcome FROM ta"
+LABEL_COLUMNS = KEYS + ", final_rrn, final_authorization_code, transaction_analysis, transaction_outcome"
+LABEL_ROWS = f"\nSELECT {LABEL_COLUMNS} FROM ta"
 
 DIRTY = oracle_with(("dirty",)).replace("WITH pay_lines AS", "WITH unused_lines AS") + "\n"
 
@@ -314,11 +315,19 @@ SELECT column_name, count(*) AS n_rows, count(*) FILTER (bad) AS n_null, count(*
         "amount_profile": oracle_with() + """
 SELECT count(*) AS n_rows, count(*) FILTER (transaction_amount IS NULL) AS n_null,
   array_to_string(list_sort(list_distinct(list(transaction_amount)))[1:5], '|') AS samples FROM bank""",
-        "infer_types": """SELECT * FROM (VALUES
+        "infer_types": """
+WITH raw AS (SELECT strftime(o_orderdate, '%d.%m.%Y') AS shipped, CAST(o_orderpriority AS VARCHAR) AS priority,
+  'id-' || o_orderkey AS id FROM orders),
+sampled AS (SELECT 'Shipped' AS column_name, 'shipped' AS map_to, shipped AS v FROM raw
+  UNION ALL SELECT 'Priority', 'priority', priority FROM raw UNION ALL SELECT 'ID', 'source_id', id FROM raw),
+typed AS (SELECT column_name, map_to,
+  if(2 * count(try_strptime(v, ['%d.%m.%Y', '%Y-%m-%d', '%d/%m/%Y'])) >= count(v), 'date', 'string') AS py_type
+  FROM sampled GROUP BY ALL)
+SELECT *, if(py_type = 'date', 'DATE', 'VARCHAR(255)') AS sql_type FROM typed UNION ALL
+SELECT * FROM (VALUES
   ('Order Id', 'order_id', 'integer', 'INTEGER'), ('Order Total', 'transaction_amount', 'float', 'NUMERIC(18,2)'),
   ('Delivery Date', 'transaction_date', 'date', 'DATE'), ('Customer Name', 'customer_name', 'string', 'TEXT'),
-  ('Shipped', 'shipped', 'date', 'DATE'), ('Priority', 'priority', 'string', 'VARCHAR(255)'),
-  ('Card', 'card', 'string', 'VARCHAR(255)'), ('ID', 'source_id', 'string', 'VARCHAR(255)'))
+  ('Card', 'card', 'string', 'VARCHAR(255)'))
   t(column_name, map_to, py_type, sql_type)""",
         "scan_csv_roundtrip": oracle_with() + """
 SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, transaction_date, payment_method,
@@ -331,6 +340,14 @@ SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, trans
 SELECT 'bank' AS source, count(*) AS n_rows, TRUE AS verified FROM bank""",
         "load_conversions": DIRTY + f"""SELECT {INTEGER} AS order_id, CAST({AMOUNT} AS DECIMAL(18,2)) AS transaction_amount,
   {day()} AS transaction_date, FALSE AS is_potential_duplicate FROM dirty""",
+        "encoding_audit": oracle_with() + """
+SELECT 'utf-8' AS encoding, count(*) AS n_data_lines, CAST(0 AS BIGINT) AS n_invalid FROM portal""",
+        "result_csv": view("generated", bank=None) + "\nSELECT " + ", ".join(
+            f"coalesce(CAST({c.strip()} AS VARCHAR), '') AS {c.strip()}" for c in LABEL_COLUMNS.split(",")) + " FROM ta",
+        "result_parquet": view("generated", bank=None) + f"\nSELECT {ESSENTIAL} FROM ta",
+        "verify_per_file": oracle_with() + """
+SELECT strftime(posting_date, '%Y-%m') AS source_file, count(*) AS n_in, count(*) AS n_out, TRUE AS agrees
+  FROM bank GROUP BY 1""",
         "csv_line_audit": oracle_with() + "\nSELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS n_dropped FROM portal",
     }
     return q

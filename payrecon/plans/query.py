@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from payrecon.functions.outcome import response_category
@@ -30,6 +32,16 @@ def query_fields(fields: dict[str, list[str]] | list[str] | None, options: Query
     return resolve_fields(fields, view_columns(options.flavour, options.include_reconciliation), strict)
 
 
+def query_to_json(fields: dict[str, list[str]] | list[str] | None, options: QueryOptions) -> str:
+    """A saved query: chosen fields and options."""
+    return json.dumps({"fields": fields, "options": json.loads(options.to_json())}, indent=2)
+
+
+def query_from_json(text: str) -> tuple[dict[str, list[str]] | list[str] | None, QueryOptions]:
+    saved = json.loads(text)
+    return saved.get("fields"), QueryOptions.from_json(json.dumps(saved.get("options", {})))
+
+
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, **args) -> DataFrame:
     """SQL with ``:name`` parameters (or ``{{name}}`` placeholders, read as such) over named frames."""
     for name in args:

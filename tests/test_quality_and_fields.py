@@ -11,7 +11,7 @@ from payrecon.operators.cleaning import clean_source, conform
 from payrecon.operators.duplicates import FLAG, duplicate_report, flag_duplicates, usable_keys
 from payrecon.plans import payment_view as pv
 from payrecon.plans.options import QueryOptions
-from payrecon.plans.query import payment_query, query_fields
+from payrecon.plans.query import payment_query, query_fields, query_from_json, query_to_json
 from payrecon.sources.spec import DUPLICATE_KEYS, ColumnSpec, SourceSpec, default_spec
 
 
@@ -103,6 +103,8 @@ def test_distinct_orders_and_limit(spark):
 def test_options_round_trip():
     options = QueryOptions(date_range=("2024-01-01", "2024-02-01"), min_amount=Decimal("1.50"), limit=3, date_match=False)
     assert QueryOptions.from_json(options.to_json()) == options
+    assert query_from_json(query_to_json({"bank": ["rrn"]}, options)) == ({"bank": ["rrn"]}, options)
+    assert query_from_json("{}") == (None, QueryOptions())
     assert [t.label for t in QueryOptions(rrn_only_match=False, auth_only_match=False, date_match=False).tiers()] == [
         "MATCH: Authorization Code + RRN + Amount"]
 
