@@ -36,6 +36,11 @@ SPREADSHEET_LAST_DAY = 106751
 MOJIBAKE = {"Ã˜": "ا", "Ù†": "ن", "Ø¹": "ع", "Ø§": "ا", "Ù…": "م"}
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"'}
 
+# What counts as blank at the ends of a text.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000")
+
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
 
 # ---------------------------------------------------------------------------
@@ -60,7 +65,7 @@ def strip_control(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_null_token(c: Column) -> Column:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # The view has 126 columns; the default of 100 would take its last stages out of generated code.
     "spark.sql.codegen.maxFields": "200",
+    # Methods above this size are never compiled by the JVM; Spark then takes its split-method path instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
@@ -48,4 +49,5 @@ def linked(*orders, payment="p{}"):
 
 
 def view(spark, options=SCRIPT, **rows):
-    return payment_view(build(spark, **rows), options)
+    """The payment view; without bank rows it leaves the bank out."""
+    return payment_view(build(spark, **rows), replace(options, include_reconciliation="bank" in rows))
