@@ -9,6 +9,7 @@ from payrecon.functions import outcome as o
 GROUP = ("gateway_order_id", "gateway_transaction_id")
 GROUP_COLUMNS = (
     "has_auth_in_group", "has_capture_in_group", "auth_rrn_in_group", "auth_authorization_code_in_group")
+_SPREAD = "_spread"
 ANALYSIS_COLUMNS = ("final_rrn", "final_authorization_code", "transaction_analysis", "transaction_outcome")
 
 
@@ -17,9 +18,13 @@ def group_facts(rows: DataFrame) -> DataFrame:
 
     An aggregate with map-side combine: however many rows share a payment, each task sends one.
     Other groups have no row here and get the defaults in :func:`attach_facts`.
+
+    The hash of the key as one more grouping column keeps the facts from being partitioned by the key itself. So
+    the join to the rows shuffles both of its sides, and only such a join can AQE split at a hot key. The facts
+    are narrow, and the wide rows are shuffled once either way.
     """
     auth = F.col("is_auth")
-    return rows.where(auth | F.col("is_capture")).groupBy(*GROUP).agg(
+    return rows.where(auth | F.col("is_capture")).groupBy(F.xxhash64(*GROUP).alias(_SPREAD), *GROUP).agg(
         F.max(F.when(auth, 1).otherwise(0)).alias(GROUP_COLUMNS[0]),
         F.max(F.when(F.col("is_capture"), 1).otherwise(0)).alias(GROUP_COLUMNS[1]),
         F.max(F.when(auth, F.col("rrn"))).alias(GROUP_COLUMNS[2]),
@@ -29,7 +34,7 @@ def group_facts(rows: DataFrame) -> DataFrame:
 
 def merge_facts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Facts of two row sets taken together."""
-    return a.unionByName(b).groupBy(*GROUP).agg(*[F.max(c).alias(c) for c in GROUP_COLUMNS])
+    return a.unionByName(b).groupBy(_SPREAD, *GROUP).agg(*[F.max(c).alias(c) for c in GROUP_COLUMNS])
 
 
 def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +55,7 @@ def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) ->
     shared = others.join(payment_only.select(*GROUP).distinct(), list(GROUP))
     linked = links.select("_link_order", "_link_payment").distinct()
     shared = shared.join(linked, (order == F.col("_link_order")) & (payment == F.col("_link_payment")))
-    shared = shared.select(*GROUP, *GROUP_COLUMNS)
+    shared = shared.select(_SPREAD, *GROUP, *GROUP_COLUMNS)
     return merge_facts(others, own), merge_facts(own, shared)
 
 
