@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,6 +16,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("payrecon-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
         # Hundreds of tiny plans: interpreting them is faster than compiling them.
         .config("spark.sql.codegen.wholeStage", "false")

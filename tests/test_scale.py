@@ -97,3 +97,25 @@ def test_filters_and_columns_reach_the_scans(spark):
     portal = [line for line in text.splitlines() if "o_orderdate" in line and "FileScan" in line]
     assert portal and all("PushedFilters" in line and "o_orderdate" in line.split("PushedFilters")[1] for line in portal)
     assert "c_name" not in text and "l_comment" not in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from payrecon.plans import ingest as ing
+    from payrecon.sources.spec import default_spec
+
+    tables = build(spark, **linked(1, 2, 3))
+    loaded = {}
+    for name in ("portal", "metabase"):
+        rows = tables[name].withColumns({"data_source": F.lit(name), "processed_at": F.lit("2024-01-01").cast("timestamp")})
+        report = ing.load_table(rows, default_spec(name), bucket_by=ing.JOIN_KEYS[name], buckets=4)
+        assert report.verified and report.rows == 3
+        loaded[name] = spark.table(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = g.order_links(loaded["metabase"], loaded["portal"])
+        assert links.count() == 3
+        assert "Exchange" not in plan(links)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in loaded:
+            spark.sql(f"DROP TABLE {name}")
