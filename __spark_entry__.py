@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -485,6 +486,22 @@ def file_audit(spark, sf_dir):
         F.element_at(F.split("path", "/"), -1).alias("file"), "length", "status")
 
 
+# -- training-data operators; absent where their subpackage is not installed ------------------------------------
+
+LLM_SQL: dict[str, str | None] = {}
+
+if importlib.util.find_spec("payrecon.llm") and importlib.util.find_spec("payrecon.llm.queries"):
+    from payrecon.llm import queries as llm
+
+    _QUERIES.update(llm.QUERIES)
+    LLM_SQL.update(llm.ORACLE_SQL)
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        _QUERIES["pipeline"] = corpus_pipeline.run
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # -- driver functions ----------------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -497,5 +514,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    expected = oracle.all_queries()
-    return {name: expected[name] for name in _QUERIES if name in expected}
+    expected = oracle.all_queries() | LLM_SQL
+    return {name: expected[name] for name in _QUERIES if expected.get(name)}
