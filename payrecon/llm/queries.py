@@ -25,6 +25,12 @@ def op3_exact_top_k(spark, sf_dir):
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    from payrecon.llm.secrets import report
+    return report(_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op3_exact_top_k": """
 WITH v AS (
