@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_pii_sanitisation(spark, sf_dir):
+    from payrecon.llm.sanitise import report
+    return report(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_top_k(spark, sf_dir):
     from payrecon.llm.topk import top_k
