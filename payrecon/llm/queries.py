@@ -37,6 +37,12 @@ def op7_secret_scan(spark, sf_dir):
     return report(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_mixture_packing(spark, sf_dir):
+    from payrecon.llm.packing import pack
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op3_exact_top_k": """
 WITH v AS (
