@@ -43,6 +43,12 @@ def op8_mixture_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_word_first_language(spark, sf_dir):
+    from payrecon.llm.langid import report
+    return report(_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op3_exact_top_k": """
 WITH v AS (
