@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_spaced_seed_decontamination(spark, sf_dir):
+    from payrecon.llm.decontaminate import overlaps
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_pii_sanitisation(spark, sf_dir):
     from payrecon.llm.sanitise import report
