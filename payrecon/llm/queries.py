@@ -37,6 +37,12 @@ def op3_exact_top_k(spark, sf_dir):
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from payrecon.llm.jaccard import links
+    return links(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     from payrecon.llm.secrets import report
