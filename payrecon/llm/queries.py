@@ -43,6 +43,12 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return links(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_sparse_suffix_array(spark, sf_dir):
+    from payrecon.llm.suffixes import passages
+    return passages(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_content_defined_chunks(spark, sf_dir):
     from payrecon.llm.chunks import repeats
