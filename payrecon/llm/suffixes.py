@@ -34,7 +34,7 @@ from payrecon.llm.common import U64, Bloom, Words, ngrams, staged, sub_batches,
 MIN_WORDS, GRAM = 50, 20
 STRETCH = MIN_WORDS - GRAM + 1
 AROUND = STRETCH
-NEIGHBOURS = 24
+NEIGHBOURS = 16
 _FILTER_BITS = 24
 _SUFFIX = "h long, after binary, before binary, doc_id long, place int, at int, ends int, steps binary, reach_after int, reach_before int"
 
@@ -65,7 +65,9 @@ def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
     least[~whole] = 0
     # A gram is selected if it is the minimum of a whole stretch around it: their minima are at most the gram itself.
     most = _sliding(least[::-1], STRETCH, np.maximum)[::-1]
-    at = np.flatnonzero((most == grams) & (np.repeat(np.diff(w.offsets), counts) >= MIN_WORDS))
+    # One word over and over gives equal grams side by side; the first of them stands for all.
+    again = np.r_[False, (grams[1:] == grams[:-1]) & (first_gram[1:] == first_gram[:-1])]
+    at = np.flatnonzero((most == grams) & ~again & (np.repeat(np.diff(w.offsets), counts) >= MIN_WORDS))
     return words_of[at], grams[at]
 
 
