@@ -67,6 +67,12 @@ def op8_mixture_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_stupid_backoff(spark, sf_dir):
+    from payrecon.llm.backoff_lm import scores
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_word_first_language(spark, sf_dir):
     from payrecon.llm.langid import report
