@@ -185,8 +185,9 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
     sorted_base = F.array_sort(F.transform(base, lambda b: F.struct(b["kinds"].alias("k"), b["starts"].alias("s"), b["ends"].alias("e"))))
     lines = F.transform(sorted_base, lambda b: line(F.element_at(names, b["k"] + 1), b["s"], b["e"]))
     extra = F.transform("terms", lambda t: line(F.when(t["removed"], "removed").otherwise("general"), t["start"], t["end"]))
+    count = lambda kind: F.size(F.filter("kinds", lambda x: x == kind)).cast("long")
     spans = find(docs, **parameters).select(
-        "digest", *[F.size(F.filter("kinds", lambda x, i=i: x == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        "digest", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.array_join(lines, ",").alias("base"), F.array_join(F.concat(lines, extra), ",").alias("spans"),
         F.size("terms").cast("long").alias("n_terms"))
     all_docs = docs.select("doc_id", _digest()).join(spans, "digest", "left")
