@@ -6,7 +6,7 @@ the columns of ``documents``. Tables that a stage needs besides are read from ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from payrecon.llm import decontaminate, jaccard, langid, packing, sanitise
 from payrecon.llm.common import staged
@@ -29,8 +29,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with identifiers and the terms that disclose them rewritten (operator 2)."""
-    return sanitise.sanitise(docs)
+    """All documents, with identifiers and the terms that disclose them rewritten (operator 2); n_chars follows."""
+    return sanitise.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
