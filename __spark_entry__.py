@@ -392,7 +392,7 @@ def _portal_export(spark: SparkSession, sf_dir: str) -> str:
 def _portal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Part files of one export share their header, and duplicates count over the whole export.
     return ing.clean_files(
-        spark, default_spec("portal"), [_portal_export(spark, sf_dir)], FIXED_TIME, per_file=False, uniform=True)
+        spark, default_spec("portal"), [_portal_export(spark, sf_dir)], FIXED_TIME, per_file=False)
 
 
 @query
@@ -405,14 +405,14 @@ def scan_csv_roundtrip(spark, sf_dir):
 @query
 def ingest_parquet(spark, sf_dir):
     out = work_dir(spark, "clean")
-    ing.ingest(spark, default_spec("portal"), out, [_portal_export(spark, sf_dir)], FIXED_TIME, uniform=True)
+    ing.ingest(spark, default_spec("portal"), out, [_portal_export(spark, sf_dir)], FIXED_TIME)
     return spark.read.parquet(out).select(
         "order_id", "transaction_amount", "transaction_date", "payment_method", "data_source")
 
 
 @query
 def csv_line_audit(spark, sf_dir):
-    report = scan.line_report(spark, default_spec("portal"), [_portal_export(spark, sf_dir)], uniform=True)
+    report = scan.line_report(spark, default_spec("portal"), [_portal_export(spark, sf_dir)])
     return report.agg(F.sum("n_lines").alias("n_lines"), F.sum("n_dropped").alias("n_dropped"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the plans rely on. A hot join key is split by AQE at run time;
 # "force" keeps that split even when a later join has to shuffle again.
@@ -30,7 +33,41 @@ def tune(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a local folder.
+    Only a session on one machine (a test) may do without ``spark.checkpoint.dir`` and gets a local folder; elsewhere
+    executors would write to disks that the others cannot see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/payrecon-{name}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`work_dir`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_STAGES: list[tuple[SparkSession, str]] = []
+
+
+def _remove_stages() -> None:
+    for spark, path in _STAGES:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            remove_dir(spark, path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, where several parts of a plan read the same rows.
+
+    The folder is removed when the driver's Python ends, as the returned frame reads it until then.
+    """
+    spark = df.sparkSession
+    if not _STAGES:
+        atexit.register(_remove_stages)
+    path = work_dir(spark, name)
+    _STAGES.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
