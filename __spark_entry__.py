@@ -410,17 +410,59 @@ def ingest_parquet(spark, sf_dir):
         "order_id", "transaction_amount", "transaction_date", "payment_method", "data_source")
 
 
+def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of bank exports in five styles; which one follows from the order, and so does what is odd about a line."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("k"), F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("rrn"),
+        F.concat(F.lit("Café "), F.col("o_custkey").cast("string")).alias("bank"), (F.col("o_orderkey") % 5).cast("int").alias("style"))
+    broken = F.concat(F.lit('"'), F.col("bank"), F.lit("\nline two, "), F.col("rrn"), F.lit('"'))
+    line = (
+        F.when(F.col("style") == 0, F.concat_ws(",", "rrn", "bank"))                    # UTF-8
+        .when(F.col("style") == 1, F.concat_ws(";", "rrn", "bank"))                     # semicolons, Latin-1
+        .when(F.col("style") == 2, F.concat_ws(",", "bank", "rrn"))                     # other order of columns, UTF-16
+        .when(F.col("style") == 3, F.concat_ws(",", F.col("rrn"), broken))              # line breaks in quotes
+        .when(F.col("k") % 3 == 0, F.concat_ws(",", F.col("rrn"), F.col("bank"), F.lit("too"), F.lit("long")))
+        .when(F.col("k") % 3 == 1, F.col("rrn"))                                        # short lines
+        .otherwise(F.concat_ws(",", "rrn", "bank")))
+    return orders.select("style", F.explode(F.split(line, "\n")).alias("line"))
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The five exports as files, below the shared working folder."""
+    lines, out = _mixed_lines(spark, sf_dir), work_dir(spark, "mixed")
+    heads = {0: "RRN,Bank Name", 1: "RRN;Bank Name", 2: "Bank Name,RRN", 3: "RRN,Bank Name", 4: "RRN,Bank Name"}
+    charsets = {1: "ISO-8859-1", 2: "UTF-16"}
+    paths = []
+    for style, head in heads.items():
+        # One header line per part file: the CSV writer puts the column's name there, unquoted and unescaped.
+        own = lines.where(F.col("style") == style).select(F.col("line").alias(head))
+        own.write.options(header=True, sep="\x01", quote="", escapeQuotes=False, encoding=charsets.get(style, "UTF-8"),
+                          emptyValue="").csv(f"{out}/{style}")
+        paths.append(f"{out}/{style}")
+    return paths
+
+
+@query
+def scan_mixed_files(spark, sf_dir):
+    found = scan.scan_source(spark, default_spec("bank"), _mixed_files(spark, sf_dir))
+    return found.select(F.col("RRN").alias("rrn"), F.col("`Bank Name`").alias("bank_name"))
+
+
 @query
 def csv_line_audit(spark, sf_dir):
-    report = scan.line_report(spark, default_spec("portal"), [_portal_export(spark, sf_dir)])
-    return report.agg(F.sum("n_lines").alias("n_lines"), F.sum("n_dropped").alias("n_dropped"))
+    report = scan.line_report(spark, default_spec("bank"), _mixed_files(spark, sf_dir))
+    style = F.element_at(F.split(scan.FILE, "/"), -2).alias("style")
+    return report.groupBy(style).agg(F.sum("n_lines").alias("n_lines"), F.sum("n_dropped").alias("n_dropped"))
 
 
 @query
 def encoding_audit(spark, sf_dir):
-    report = audit.encoding_audit(spark, [_portal_export(spark, sf_dir)])
-    return report.groupBy("encoding").agg(
-        F.sum(F.col("n_lines") - 1).alias("n_data_lines"), F.sum("n_invalid").alias("n_invalid"))
+    report = audit.encoding_audit(spark, _mixed_files(spark, sf_dir))
+    style = F.element_at(F.split("path", "/"), -2).alias("style")
+    return report.where("encoding <> 'utf-16'").groupBy(style, "encoding").agg(
+        F.sum(F.col("n_lines") - 1).alias("n_data_lines"), F.sum("n_invalid").alias("n_invalid")).unionByName(
+        report.where("encoding = 'utf-16'").select(style, "encoding").distinct().withColumns(
+            {"n_data_lines": F.lit(None).cast("long"), "n_invalid": F.lit(None).cast("long")}))
 
 
 @query
@@ -440,15 +482,37 @@ def result_parquet(spark, sf_dir):
 
 @query
 def verify_per_file(spark, sf_dir):
-    """Rows per month of the bank stand-in before and after loading, as files of one source."""
+    """Rows per month of a bank table that lost some lines on the way, as files of one source."""
     spec = default_spec("bank")
     bank = payment_tables(spark, sf_dir)["bank"].withColumns({
         "data_source": F.lit("bank"), "processed_at": F.lit(FIXED_TIME), scan.FILE: F.date_format("posting_date", "yyyy-MM")})
     out = work_dir(spark, "table")
-    ing.loaded(bank, spec, keep=(scan.FILE,)).write.parquet(out)
+    kept = bank.where("NOT (month(posting_date) = 7 AND rrn LIKE '%3')")
+    ing.loaded(kept, spec, keep=(scan.FILE,)).write.parquet(out)
     return ing.verify_per_file(bank, spark.read.parquet(out))
 
 
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    """All seven sources as CSV exports with raw headers, and their specs."""
+    specs, files = {}, {}
+    for name, table in payment_tables(spark, sf_dir).items():
+        known = {c.map_to: c.original for c in default_spec(name).columns}
+        raw = table.select(*[F.col(c).cast("string").alias(known.get(c, c)) for c in table.columns])
+        specs[name], files[name] = default_spec(name), [write_result(raw, work_dir(spark, f"export-{name}"), "csv")]
+    return specs, files
+
+
+@query
+def ingest_all(spark, sf_dir):
+    """Seven exports to clean Parquet, with the reports' counts."""
+    specs, files = _exports(spark, sf_dir)
+    out = work_dir(spark, "clean")
+    ing.ingest_all(spark, specs, out, files, FIXED_TIME)
+    back = spark.read.option("mergeSchema", True).parquet(out)
+    return back.groupBy(F.col("data_source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_potential_duplicate").alias("n_flagged"))
+
+
 @query
 def infer_types(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -482,8 +546,8 @@ def load_conversions(spark, sf_dir):
 @query
 def file_audit(spark, sf_dir):
     names = ["lineitem", "orders", "customer"]
-    return audit.file_audit(spark, [f"{sf_dir}/{n}.parquet" for n in names]).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", "status")
+    paths = [f"{sf_dir}/{n}.parquet" for n in names] + [f"{sf_dir}/no_such_table.parquet"]
+    return audit.file_audit(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), "status")
 
 
 # -- training-data operators; absent where their subpackage is not installed ------------------------------------

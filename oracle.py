@@ -209,6 +209,17 @@ NOTE = (f"regexp_replace(replace(replace(replace(replace({NO_BREAKS}, '&amp;', '
 
 DATES = ("1995-01-01", "1995-12-31")
 
+# By which columns rows of an export count as repeated.
+EXPORT_KEYS = {
+    "portal": ("order_id", "transaction_date", "payment_method"),
+    "metabase": ("portal_order_id",),
+    "checkout_v1": ("order_id", "rrn"),
+    "checkout_v2": ("rrn", "order_id"),
+    "payfort": ("order_id", "authorization_code", "transaction_amount"),
+    "tamara": ("payment_online_transaction_id", "tamara_txn_reference"),
+    "bank": ("masked_card", "transaction_amount", "authorization_code"),
+}
+
 
 def all_queries() -> dict[str, str]:
     full = view()
@@ -340,15 +351,33 @@ SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, trans
 SELECT 'bank' AS source, count(*) AS n_rows, TRUE AS verified FROM bank""",
         "load_conversions": DIRTY + f"""SELECT {INTEGER} AS order_id, CAST({AMOUNT} AS DECIMAL(18,2)) AS transaction_amount,
   {day()} AS transaction_date, FALSE AS is_potential_duplicate FROM dirty""",
-        "encoding_audit": oracle_with() + """
-SELECT 'utf-8' AS encoding, count(*) AS n_data_lines, CAST(0 AS BIGINT) AS n_invalid FROM portal""",
+        "scan_mixed_files": """
+SELECT 'R' || o_orderkey AS rrn,
+  CASE WHEN o_orderkey % 5 = 3 THEN 'Café ' || o_custkey || chr(10) || 'line two, R' || o_orderkey
+    WHEN o_orderkey % 5 = 4 AND o_orderkey % 3 = 1 THEN '' ELSE 'Café ' || o_custkey END AS bank_name
+FROM orders WHERE NOT (o_orderkey % 5 = 4 AND o_orderkey % 3 = 0)""",
+        "encoding_audit": """
+SELECT CAST(o_orderkey % 5 AS VARCHAR) AS style,
+  CASE o_orderkey % 5 WHEN 1 THEN 'latin1' WHEN 2 THEN 'utf-16' ELSE 'utf-8' END AS encoding,
+  CASE o_orderkey % 5 WHEN 2 THEN NULL WHEN 3 THEN 2 * count(*) ELSE count(*) END AS n_data_lines,
+  CASE o_orderkey % 5 WHEN 1 THEN count(*) WHEN 2 THEN NULL ELSE 0 END AS n_invalid
+FROM orders GROUP BY o_orderkey % 5""",
+        "ingest_all": oracle_with() + ",\ncounted AS (" + "\nUNION ALL ".join(
+            f"SELECT '{name}' AS source, count(*) AS n FROM {name} GROUP BY {', '.join(keys)}" for name, keys in EXPORT_KEYS.items())
+            + ")\nSELECT source, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_flagged FROM counted GROUP BY source",
+        "file_audit": """
+SELECT * FROM (VALUES ('lineitem.parquet', 'ok'), ('orders.parquet', 'ok'), ('customer.parquet', 'ok'),
+  ('no_such_table.parquet', 'missing')) t(file, status)""",
         "result_csv": view("generated", bank=None) + "\nSELECT " + ", ".join(
             f"coalesce(CAST({c.strip()} AS VARCHAR), '') AS {c.strip()}" for c in LABEL_COLUMNS.split(",")) + " FROM ta",
         "result_parquet": view("generated", bank=None) + f"\nSELECT {ESSENTIAL} FROM ta",
-        "verify_per_file": oracle_with() + """
-SELECT strftime(posting_date, '%Y-%m') AS source_file, count(*) AS n_in, count(*) AS n_out, TRUE AS agrees
-  FROM bank GROUP BY 1""",
-        "csv_line_audit": oracle_with() + "\nSELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS n_dropped FROM portal",
+        "verify_per_file": oracle_with() + """,
+n AS (SELECT strftime(posting_date, '%Y-%m') AS source_file, count(*) AS n_in,
+  count(*) FILTER (NOT (month(posting_date) = 7 AND rrn LIKE '%3')) AS n_out FROM bank GROUP BY 1)
+SELECT *, n_in = n_out AS agrees FROM n""",
+        "csv_line_audit": """
+SELECT CAST(o_orderkey % 5 AS VARCHAR) AS style, count(*) AS n_lines,
+  count(*) FILTER (o_orderkey % 5 = 4 AND o_orderkey % 3 = 0) AS n_dropped FROM orders GROUP BY o_orderkey % 5""",
     }
     return q
 
