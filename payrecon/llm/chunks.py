@@ -155,8 +155,10 @@ def repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     places = staged(rows.mapInArrow(
         lambda it: _places(it, shared.value), "doc_id long, place int, start int, end int, n_words int, h long"), "chunk-places")
     first = places.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    # Written first, so that both sides of the join come straight from a shuffle and a hot digest can be split.
+    first = staged(first.select("h", "first_doc"), "repeated-chunks")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = places.join(first.select("h", "first_doc"), "h").drop("h").distinct()
+    found = places.join(first, "h").drop("h").distinct()
     return found.repartition(n, "doc_id").sortWithinPartitions("doc_id", "place", "start").mapInArrow(
         lambda it: _runs(it, min_words),
         "doc_id long, start long, end long, n_chunks long, n_words long, first_doc long, kept boolean")
