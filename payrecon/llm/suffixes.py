@@ -79,7 +79,7 @@ def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, limit=4 << 20):
+    for batch in sub_batches(batches, limit=2 << 20):
         data, offsets = utf8(batch.column("text"))
         w = words(data, offsets)
         at, h = minimisers(w)
@@ -203,7 +203,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     carried = ", ".join("e_" + c.strip() for c in _SUFFIX.split(","))
     schema = ", ".join(f"{c} long" for c in _MATCH) + ", " + carried
-    ordered = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The borders of the ranges are drawn on the hash, two words and the document: the driver samples short keys only.
+    ordered = suffixes.repartitionByRange(n, "h", F.substring("after", 1, 8), "doc_id").sortWithinPartitions(*order)
     found = staged(ordered.mapInArrow(lambda it: _neighbours(it, min_words, True), schema), "matches")
     # Two rows of each partition: what stands at the borders. Their number is that of the partitions, not of the texts.
     ends = found.where("doc_id IS NULL").select(*[F.col("e_" + c).alias(c) for c in suffixes.columns])
