@@ -22,7 +22,7 @@ from payrecon.operators.duplicates import flag_duplicates  # noqa: E402
 from payrecon.plans import ingest as ing, payment_view as pv  # noqa: E402
 from payrecon.plans.options import QueryOptions  # noqa: E402
 from payrecon.plans.query import payment_query, row_count, run_sql  # noqa: E402
-from payrecon.plans.standin import dirty, payment_tables  # noqa: E402
+from standin import dirty, payment_tables  # noqa: E402
 from payrecon.session import tune, work_dir  # noqa: E402
 from payrecon.sinks.writers import write_result  # noqa: E402
 from payrecon.sources import audit, infer, scan  # noqa: E402

@@ -6,7 +6,7 @@ it uses two bucketed equi-joins, plain per-branch unions where it shares columns
 
 from __future__ import annotations
 
-from payrecon.plans.standin import oracle_with
+from standin import oracle_with
 
 MONEY = "DECIMAL(18,2)"
 
@@ -192,8 +192,11 @@ def day(adjust: int = 1, formats: str = "'%d/%m/%Y', '%Y-%m-%d', '%Y%m%d'") -> s
             f"ELSE CAST(try_strptime(date_raw, [{formats}]) AS DATE) END")
 
 
-TIME = ("CASE time_raw WHEN '10:11:12' THEN '10:11:12' WHEN '9:05 PM' THEN '21:05:00' WHEN '0.5' THEN '12:00:00' "
-        "ELSE NULL END")
+# Times of day computed from the numbers that the raw text was made of.
+CLOCK = "lpad(CAST({} AS VARCHAR), 2, '0') || ':' || lpad(CAST({} AS VARCHAR), 2, '0') || ':' || lpad(CAST({} AS VARCHAR), 2, '0')"
+TIME = ("CASE k % 5 WHEN 0 THEN " + CLOCK.format("k % 24", "k % 60", "c % 60")
+        + " WHEN 1 THEN " + CLOCK.format("(k % 12 + 1) % 12 + if(c % 2 = 0, 0, 12)", "k % 60", "0")
+        + " WHEN 2 THEN " + CLOCK.format("(c % 64) * 1350 // 3600", "(c % 64) * 1350 % 3600 // 60", "(c % 64) * 1350 % 60") + " END")
 BOOL = "CASE WHEN bool_raw IN ('Yes', 'ON') THEN TRUE WHEN bool_raw IN ('f', 'failure') THEN FALSE END"
 STRING = ("regexp_replace(replace(trim(CASE WHEN text_raw LIKE '=\"%\"' THEN substr(text_raw, 3, length(text_raw) - 3) "
           "ELSE text_raw END, ' ' || chr(10)), chr(10), ' '), '[\\x00-\\x1F\\x7F]', '', 'g')")

@@ -1,4 +1,4 @@
-"""Stand-ins for the seven sources (and a dirty export), derived from the order tables of the test data.
+"""Test data: stand-ins for the seven sources (and a dirty export), derived from the order tables of the test data.
 
 The SQL is portable: Spark runs it here, the oracle runs the same text over the same tables.
 """
@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 PAY_LINES = """
 SELECT CAST(l_orderkey AS BIGINT) AS order_id, concat('pay_', CAST(l_orderkey AS STRING)) AS payment_id,
   l_linenumber, l_linestatus, l_suppkey, CAST(l_quantity AS INT) AS qty,
-  CAST(l_extendedprice AS DECIMAL(18,2)) AS amt, CAST(l_shipdate AS DATE) AS dt,
+  CASE WHEN l_orderkey % 8 < 2 THEN 100.00 ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS amt, CAST(l_shipdate AS DATE) AS dt,
   CASE WHEN l_quantity < 2 THEN '' ELSE lpad(CAST(l_orderkey % 5000 AS STRING), 6, '0') END AS auth,
   concat('R', CAST(l_orderkey AS STRING)) AS rrn,
-  CASE l_linenumber WHEN 1 THEN 'Authorisation' WHEN 2 THEN 'Capture' WHEN 3 THEN 'Refund' WHEN 4 THEN 'Void'
+  CASE l_linenumber WHEN 1 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'Authorization' ELSE 'Authorisation' END
+    WHEN 2 THEN 'Capture' WHEN 3 THEN 'Refund' WHEN 4 THEN CASE WHEN l_suppkey % 3 = 1 THEN 'Cancel' ELSE 'Void' END
+   
     WHEN 5 THEN 'Capture' WHEN 6 THEN 'Approved' ELSE 'Declined' END AS action,
   CASE WHEN l_returnflag = 'R' THEN '20005' ELSE '10000' END AS rc
 FROM lineitem
@@ -59,7 +61,8 @@ FROM pay_lines WHERE order_id % 4 = 1
 """,
     "payfort": """
 SELECT order_id, payment_id AS payment_online_transaction_id, amt AS transaction_amount,
-  CASE l_linenumber WHEN 1 THEN 'AUTHORIZATION' WHEN 3 THEN 'FULLY_REFUNDED' ELSE upper(action) END AS status,
+  CASE l_linenumber WHEN 1 THEN 'AUTHORIZATION' WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0
+    THEN 'PARTIALLY_REFUNDED' ELSE 'FULLY_REFUNDED' END ELSE upper(action) END AS status,
   dt AS transaction_date, auth AS authorization_code, rrn, 'visa' AS payment_method, 'cc' AS payment_method_type,
   'ACQ' AS acquirer_name, 'SA' AS merchant_country, 'web' AS channel, 'm1' AS mid, 'SAR' AS currency,
   '10:11:12' AS time
@@ -100,13 +103,16 @@ SELECT o_orderkey AS k,
     WHEN 1 THEN concat(CAST(year(o_orderdate) AS STRING),'-',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'-',lpad(CAST(day(o_orderdate) AS STRING),2,'0'))
     WHEN 2 THEN concat(CAST(year(o_orderdate) AS STRING),lpad(CAST(month(o_orderdate) AS STRING),2,'0'),lpad(CAST(day(o_orderdate) AS STRING),2,'0'))
     WHEN 3 THEN CAST(40000 + o_orderkey % 5000 AS STRING) WHEN 4 THEN 'None' WHEN 5 THEN '' ELSE '31/02/2024' END AS date_raw,
-  CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '10:11:12' WHEN 1 THEN '9:05 PM' WHEN 2 THEN '0.5' WHEN 3 THEN '<NA>' ELSE 'bad' END AS time_raw,
+  CASE CAST(o_orderkey % 5 AS INT)
+    WHEN 0 THEN concat(lpad(CAST(o_orderkey % 24 AS STRING),2,'0'),':',lpad(CAST(o_orderkey % 60 AS STRING),2,'0'),':',lpad(CAST(o_custkey % 60 AS STRING),2,'0'))
+    WHEN 1 THEN concat(CAST(o_orderkey % 12 + 1 AS STRING),':',lpad(CAST(o_orderkey % 60 AS STRING),2,'0'),CASE WHEN o_custkey % 2 = 0 THEN ' AM' ELSE ' PM' END)
+    WHEN 2 THEN CAST(CAST(o_custkey % 64 AS DOUBLE) / 64 AS STRING) WHEN 3 THEN '<NA>' ELSE 'bad' END AS time_raw,
   CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN concat(CAST(o_orderkey AS STRING),'.0') WHEN 2 THEN 'abc' ELSE '' END AS int_raw,
   CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Yes' WHEN 1 THEN 'f' WHEN 2 THEN 'ON' WHEN 3 THEN 'maybe' ELSE 'failure' END AS bool_raw,
   CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN concat('="', o_orderpriority, '"') WHEN 1 THEN concat('  a', chr(10), 'b', chr(7), ' ')
     WHEN 2 THEN 'Tom &amp; Co &lt;x&gt;  y' ELSE '' END AS text_raw,
   CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) WHEN 1 THEN concat('{', upper(md5(CAST(o_orderkey AS STRING))), '}')
-    WHEN 2 THEN concat('urn:uuid:', md5(CAST(o_orderkey AS STRING))) ELSE 'nope' END AS uuid_raw
+    WHEN 2 THEN concat('urn:uuid:', md5(CAST(o_orderkey AS STRING))) ELSE 'nope' END AS uuid_raw, o_custkey AS c
 FROM orders
 """
 

@@ -127,7 +127,7 @@ def test_plan_has_no_quadratic_join_and_no_python(spark):
     import io
 
     from payrecon.plans.payment_view import payment_view
-    from payrecon.plans.standin import payment_tables
+    from standin import payment_tables
 
     df = payment_view(payment_tables(spark, "/root/testdata/sf0.001"))
     with contextlib.redirect_stdout(io.StringIO()) as out:

@@ -89,7 +89,7 @@ def test_nothing_gathers_a_group(spark):
 
 def test_filters_and_columns_reach_the_scans(spark):
     from payrecon.plans.query import payment_query
-    from payrecon.plans.standin import payment_tables
+    from standin import payment_tables
 
     tables = payment_tables(spark, "/root/testdata/sf0.001")
     options = QueryOptions(include_reconciliation=False, date_range=("1995-01-01", "1995-12-31"))
