@@ -9,7 +9,7 @@ same hash may match further to the left, so the ``NEIGHBOURS`` rows on either si
 can be, so longer matches are put together from those of their minimisers.
 
 The sort is a range partitioning over all sort keys, so a passage that very many documents share is split over tasks;
-the first and last suffix of every partition (two rows each) are compared with the neighbouring partition's afterwards. Suffixes
+the first and last ``NEIGHBOURS`` suffixes of every partition are compared with the neighbouring partition's afterwards. Suffixes
 whose hash occurs once cannot match and are left out before the words around them are gathered: hashes are counted
 over all texts, and a filter of fixed size made from the repeated ones is passed to the tasks.
 
@@ -152,7 +152,7 @@ _MATCH = ["doc_id", "first_word", "last_word", "start", "end", "other_doc"]
 
 
 def _neighbours(batches: Iterable[pa.RecordBatch], min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Matches within a sorted partition, read some rows at a time; with ``edges`` also its first and last suffix."""
+    """Matches within a sorted partition, read some rows at a time; with ``edges`` also its first and last suffixes."""
     held = first = None
     nothing = [pa.nulls(0)] * len(_MATCH)
 
@@ -166,7 +166,8 @@ def _neighbours(batches: Iterable[pa.RecordBatch], min_words: int, edges: bool)
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        first = first if first is not None else table.slice(0, 1)
+        if first is None or first.num_rows < NEIGHBOURS:
+            first = table.slice(0, NEIGHBOURS) if first is None else pa.concat_tables([first, table.slice(0, NEIGHBOURS - first.num_rows)])
         joined = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
         found = _compare(joined, min_words)
         yield result(np.unique(found, axis=0), table.slice(0, 0))
@@ -175,7 +176,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch], min_words: int, edges: bool)
         other = np.flatnonzero(doc != doc[-1])
         held = joined.slice(max(int(other[-1]) if len(other) else 0, joined.num_rows - 64))
     if edges and first is not None:
-        yield result(np.zeros((0, len(_MATCH)), np.int64), pa.concat_tables([first, held.slice(held.num_rows - 1)]))
+        yield result(np.zeros((0, len(_MATCH)), np.int64), pa.concat_tables([first, held.slice(max(0, held.num_rows - NEIGHBOURS))]).combine_chunks())
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # The borders of the ranges are drawn on the hash, two words and the document: the driver samples short keys only.
     ordered = suffixes.repartitionByRange(n, "h", F.substring("after", 1, 8), "doc_id").sortWithinPartitions(*order)
     found = staged(ordered.mapInArrow(lambda it: _neighbours(it, min_words, True), schema), "matches")
-    # Two rows of each partition: what stands at the borders. Their number is that of the partitions, not of the texts.
+    # A few rows of each partition: what stands at the borders. Their number is that of the partitions, not of the texts.
     ends = found.where("doc_id IS NULL").select(*[F.col("e_" + c).alias(c) for c in suffixes.columns])
     borders = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, min_words, False), schema)
     matches = found.where("doc_id IS NOT NULL").select(*_MATCH).union(borders.where("doc_id IS NOT NULL").select(*_MATCH))
