@@ -32,11 +32,6 @@ def group_facts(rows: DataFrame) -> DataFrame:
     )
 
 
-def merge_facts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Facts of two row sets taken together."""
-    return a.unionByName(b).groupBy(_SPREAD, *GROUP).agg(*[F.max(c).alias(c) for c in GROUP_COLUMNS])
-
-
 def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts for the rows linked by order and payment, and for those linked by payment alone.
 
@@ -46,17 +41,33 @@ def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) ->
     * a keyed row survives iff its (order, payment) is linked, and then so do all rows of its group;
     * a payment-only row may survive while the keyed rows of its group do not, so keyed facts count
       for it only where (order, payment) is linked.
+
+    One narrow aggregate over all gateways holds the facts of both families side by side.
     """
-    own = group_facts(payment_only)
-    others = group_facts(keyed)
-    order, payment = (F.col(c) for c in GROUP)
-    # Inner joins to distinct keys rather than semi joins: those would be pushed below the aggregate,
-    # which then could not be shared with the keyed side.
-    shared = others.join(payment_only.select(*GROUP).distinct(), list(GROUP))
-    linked = links.select("_link_order", "_link_payment").distinct()
-    shared = shared.join(linked, (order == F.col("_link_order")) & (payment == F.col("_link_payment")))
-    shared = shared.select(_SPREAD, *GROUP, *GROUP_COLUMNS)
-    return merge_facts(others, own), merge_facts(own, shared)
+    needed = [*GROUP, "is_auth", "is_capture", "rrn", "authorization_code"]
+    marked = F.coalesce(F.col("is_auth") | F.col("is_capture"), F.lit(False))
+    rows = keyed.where(marked).select(F.lit(False).alias("_loose"), *needed).unionByName(
+        payment_only.select(F.lit(True).alias("_loose"), *needed))
+
+    def of(family: Column, prefix: str) -> list[Column]:
+        auth = family & F.col("is_auth")
+        columns = (F.max(F.when(auth, 1).otherwise(0)), F.max(F.when(family & F.col("is_capture"), 1).otherwise(0)),
+                   F.max(F.when(auth, F.col("rrn"))), F.max(F.when(auth, F.col("authorization_code"))))
+        return [c.alias(prefix + name) for c, name in zip(columns, GROUP_COLUMNS)]
+
+    facts = rows.groupBy(F.xxhash64(*GROUP).alias(_SPREAD), *GROUP).agg(
+        *of(~F.col("_loose"), "_k_"), *of(F.col("_loose"), "_l_"), F.max(F.when(marked, 1).otherwise(0)).alias("_any"),
+        F.max("_loose").alias("_has_loose")).where("_any = 1 OR _has_loose")
+    linked = links.select(F.col("_link_order").alias(GROUP[0]), F.col("_link_payment").alias(GROUP[1])).distinct().select(
+        F.xxhash64(*GROUP).alias(_SPREAD), *GROUP, F.lit(True).alias("_linked"))
+    facts = facts.join(linked, [_SPREAD, *GROUP], "left")
+
+    def both(name: str, keyed_counts: Column) -> Column:
+        return F.greatest(F.when(keyed_counts, F.col(f"_k_{name}")), F.col(f"_l_{name}")).alias(name)
+
+    for_keyed = facts.where("_any = 1").select(_SPREAD, *GROUP, *[both(c, F.lit(True)) for c in GROUP_COLUMNS])
+    for_loose = facts.where("_has_loose").select(_SPREAD, *GROUP, *[both(c, F.col("_linked")) for c in GROUP_COLUMNS])
+    return for_keyed, for_loose
 
 
 def attach_facts(rows: DataFrame, facts: DataFrame, null_safe: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from payrecon.session import staged
+
 MATCH_TYPE = "bank_match_type"
 EXACT, APPROX = Decimal("0.01"), Decimal("1.00")
 MONEY = "decimal(18,2)"
@@ -80,10 +82,11 @@ def bank_lines(bank: DataFrame) -> DataFrame:
     return bank.select(*[F.col(source).cast(kind).alias(name) for name, (source, kind) in BANK_COLUMNS.items()])
 
 
-def signature_columns(tiers: Sequence[Tier]) -> list[str]:
-    """The transaction columns that decide which bank lines match."""
+def signature_columns(tiers: Sequence[Tier]) -> tuple[list[str], list[str]]:
+    """The columns of a transaction and of a bank line that decide whether they match."""
     same_day = any(t.same_day for t in reachable(tiers))
-    return ["final_rrn", "final_authorization_code", "amount", *(["transaction_date"] if same_day else [])]
+    return (["final_rrn", "final_authorization_code", "amount", *(["transaction_date"] if same_day else [])],
+            ["bank_rrn", "bank_auth_code", "bank_amount", *(["bank_transaction_date"] if same_day else [])])
 
 
 def _key(column: Column, blank_keys_match: bool) -> Column:
@@ -146,24 +149,31 @@ def match_pairs(signatures: DataFrame, bank: DataFrame, tiers: Sequence[Tier] =
     return pairs.drop(*[f"{p}{c}" for p in ("_", "_bank_") for c in ("by", "key", "bucket")])
 
 
-def reconcile(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True,
-              candidates: DataFrame | None = None) -> DataFrame:
+def reconcile(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True) -> DataFrame:
     """Left outer match of transactions to bank lines: all pairs, unmatched transactions with NULLs.
 
-    Which lines match depends on a few narrow columns only. Their distinct combinations (copies collapse in
-    the map-side combine) are matched first; then the wide transactions are shuffled once, to pick up their
-    pairs. ``candidates`` may name a cheaper frame that holds at least the combinations of ``tx``.
+    Which lines match depends on a few narrow columns only, on both sides. Their distinct combinations (copies
+    collapse in the map-side combine) are matched first; then the wide transactions and the wide lines pick up the
+    pairs by two inner joins, which are split at run time on either side, so neither a popular transaction nor a popular
+    bank line ends in one task. Transactions in no pair come from an anti join. The transactions are read by each of
+    these steps, so they are staged once, and so are the pairs.
     """
+    nothing = {n: F.lit(None).cast(kind) for n, (_, kind) in BANK_COLUMNS.items()} | {MATCH_TYPE: F.lit(None).cast("string")}
     if not tiers:
-        empty = {n: F.lit(None).cast(kind) for n, (_, kind) in BANK_COLUMNS.items()}
-        return tx.withColumns({**empty, MATCH_TYPE: F.lit(None).cast("string")})
-    columns = signature_columns(tiers)
-    source = tx if candidates is None else candidates
-    signatures = source.select(*columns).distinct()
-    pairs = match_pairs(signatures, bank_lines(bank), tiers, blank_keys_match)
-    pairs = pairs.withColumnsRenamed({c: f"_m_{c}" for c in columns})
-    same = reduce(Column.__and__, [tx[c].eqNullSafe(pairs[f"_m_{c}"]) for c in columns])
-    return tx.join(pairs, same, "left").drop(*[f"_m_{c}" for c in columns])
+        return tx.withColumns(nothing)
+    own, theirs = signature_columns(tiers)
+    tx, lines = staged(tx, "transactions"), bank_lines(bank)
+    pairs = match_pairs(tx.select(*own).distinct(), lines.select(*theirs).distinct(), tiers, blank_keys_match)
+    pairs = staged(pairs.select(*[F.col(c).alias(f"_m_{c}") for c in own + theirs], MATCH_TYPE), "pairs")
+
+    def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+        return reduce(Column.__and__, [left[c].eqNullSafe(right[f"_m_{c}"]) for c in columns])
+
+    matched = tx.join(pairs, same(tx, pairs, own)).drop(*[f"_m_{c}" for c in own])
+    matched = matched.join(lines, same(lines, matched, theirs)).drop(*[f"_m_{c}" for c in theirs])
+    taken = pairs.select(*[f"_m_{c}" for c in own]).distinct()
+    alone = tx.join(taken, same(tx, taken, own), "left_anti").withColumns(nothing)
+    return matched.select(*alone.columns).union(alone)
 
 
 def match_summary(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from payrecon.operators import gateways as g, lifecycle as lc
 from payrecon.operators.duplicates import FLAG, flag_duplicates
 from payrecon.operators.reconcile import BANK_COLUMNS, MATCH_TYPE, reconcile
 from payrecon.plans.options import QueryOptions
+from payrecon.session import staged
 
 SCRIPT = QueryOptions(flavour="script")
 PAYMENT_KEYS = (
@@ -78,11 +79,9 @@ def transactions(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -
 
 def payment_view(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -> DataFrame:
     """All columns of the view: 126, or 107 without reconciliation."""
-    tx, unlinked = transactions(tables, options)
+    tx = transactions(tables, options)[0]
     if options.include_reconciliation:
-        # A date range is applied by the links; without one the unlinked rows have the same signatures, cheaper.
-        candidates = unlinked if options.date_range is None else None
-        tx = reconcile(tx, tables["bank"], options.tiers(), options.blank_keys_match, candidates)
+        tx = reconcile(tx, tables["bank"], options.tiers(), options.blank_keys_match)
     return g.widen(tx).select(*view_columns(options.flavour, options.include_reconciliation))
 
 
@@ -99,21 +98,27 @@ def drop_view(spark, name: str = "payment_view") -> bool:
 
 
 def stage_funnel(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -> DataFrame:
-    """Rows per stage, to see where an empty result comes from."""
-    linked = unify(tables, options.flavour, options.date_range)
-    merged = lc.drop_merged_auth(lc.auth_capture_groups(linked))
-    view = payment_view(tables, options)
-    stages = {
-        "1 gateway rows": g.gateway_rows(tables, options.flavour),
-        "2 linked": linked,
-        "3 merged": merged,
-        "4 successful": lc.classify(merged, partial_refunds=options.partial_refunds),
-        "5 view": view,
-        "6 matched": view.where(F.col(MATCH_TYPE).isNotNull()),
-    }
-    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(s).alias("stage"), "n_rows")
-              for s, df in stages.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Rows per stage, to see where an empty result comes from.
+
+    The linked rows are labelled once with the last stage they reach and staged; the view and its matches are counted from the matching of the successful ones.
+    """
+    linked = lc.auth_capture_groups(unify(tables, options.flavour, options.date_range))
+    rows = lc.with_outcome(linked, options.partial_refunds)
+    merged = F.coalesce(~(F.col("is_auth") & (F.col("has_auth_in_group") == 1) & (F.col("has_capture_in_group") == 1)), F.lit(False))
+    narrow = [*lc.GROUP, "status", "amount", "transaction_date", *lc.ANALYSIS_COLUMNS[:2]]
+    rows = lc.final_columns(rows, options.merge_auth_capture, options.use_auth_rrn, options.use_auth_code)
+    rows = staged(rows.select(*narrow, merged.alias("_merged"), (merged & F.col(o.OK)).alias("_good")), "funnel")
+    raw = g.gateway_rows(tables, options.flavour).agg(F.count(F.lit(1)).alias("n")).select(F.array(
+        F.struct(F.lit("1 gateway rows").alias("stage"), F.col("n").alias("n_rows"))).alias("x"))
+    counts = rows.agg(F.count(F.lit(1)).alias("a"), F.count_if("_merged").alias("b"), F.count_if("_good").alias("c")).select(F.array(*[
+        F.struct(F.lit(name).alias("stage"), F.col(c).alias("n_rows"))
+        for name, c in (("2 linked", "a"), ("3 merged", "b"), ("4 successful", "c"))]).alias("x"))
+    good = rows.where("_good").select(*narrow)
+    if options.include_reconciliation:
+        good = reconcile(good, tables["bank"], options.tiers(), options.blank_keys_match)
+    else:
+        good = good.withColumn(MATCH_TYPE, F.lit(None).cast("string"))
+    ends = good.agg(F.count(F.lit(1)).alias("a"), F.count(MATCH_TYPE).alias("b")).select(F.array(
+        F.struct(F.lit("5 view").alias("stage"), F.col("a").alias("n_rows")),
+        F.struct(F.lit("6 matched").alias("stage"), F.col("b").alias("n_rows"))).alias("x"))
+    return raw.union(counts).union(ends).select(F.inline("x"))

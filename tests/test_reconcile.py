@@ -73,7 +73,7 @@ def test_no_tier_at_all_keeps_the_transaction(spark):
 
 def test_unreachable_tiers_are_skipped():
     assert [t.label for t in rc.reachable(rc.TIERS)] == [rc.TIERS[i].label for i in (0, 1, 2, 4, 5)]
-    assert rc.signature_columns(rc.TIERS) == ["final_rrn", "final_authorization_code", "amount"]
+    assert rc.signature_columns(rc.TIERS)[0] == ["final_rrn", "final_authorization_code", "amount"]
 
 
 def _rows(rng, n, names):
@@ -162,3 +162,29 @@ def test_hot_key_is_split_at_run_time(spark):
     assert sum(r["n"] for r in rows) == n
     hot = [r for r in rows if r[rc.MATCH_TYPE] is not None]
     assert sum(r["n"] for r in hot) == n * 3 // 4 and len(hot) > 1
+
+
+def test_hot_bank_line_is_split_at_run_time(spark):
+    """One signature meets most bank lines: their join is split over several tasks as well."""
+    n = 60000
+    tx = spark.createDataFrame([("", "", Decimal("10.00"), "t"), ("x", "y", Decimal("1.00"), "u")],
+                               "final_rrn string, final_authorization_code string, amount decimal(18,2), k string")
+    lines = spark.range(n, numPartitions=8).select(
+        F.lit("").alias("rrn"), F.lit("").alias("authorization_code"), F.lit("10.00").cast("decimal(18,2)").alias("transaction_amount"),
+        F.sha2(F.col("id").cast("string"), 512).alias("transaction_link_url"))
+    bank = build(spark, bank=[])["bank"].unionByName(lines, allowMissingColumns=True)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500k"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = rc.reconcile(tx, bank).groupBy(F.spark_partition_id().alias("p"), "k").agg(
+            F.count(F.lit(1)).alias("n"), F.min("bank_transaction_link_url")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r["n"] for r in rows if r["k"] == "t") == n and sum(r["n"] for r in rows if r["k"] == "u") == 1
+    assert len([r for r in rows if r["k"] == "t"]) > 1
