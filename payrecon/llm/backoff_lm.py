@@ -13,7 +13,8 @@ chunks, and answers every chunk with the totals of the n-grams it listed, in the
 answers to the n-grams of its documents and sums. Lists travel as arrays, because a row per n-gram would
 take several times the bytes of the text. A hot n-gram is one entry of each chunk's list, however often it occurs.
 
-N-grams are identified by 56 bits of their hash: with n distinct ones in the corpus, a share of n / 2**56 is mistaken for another.
+N-grams are identified by hashes of 18 bits more than it takes to number the corpus's n-grams (46 bits at least), so one
+in 262,144 at most is taken for another, at every size.
 
 Defined results: null, empty and wordless texts have no words and no score (null); repeated rows are scored each, and
 the other copies count as corpus; null ids are kept; a corpus of one document has only unseen words; an empty table
@@ -31,7 +32,8 @@ from payrecon.llm.common import U64, Words, mix64, utf8, words
 
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
 CHUNK_BYTES = 6 << 20
-HASH_BITS = 56
+#: Bits of a hash beyond those that number the corpus's n-grams, and the fewest bits.
+SPARE_BITS, LEAST_BITS = 18, 46
 _BASE = 0xC2B2AE3D27D4EB4F
 _REQUEST = "bucket int, chunk int, n int, hashes binary, counts binary"
 _REPLY = "chunk int, bucket int, n int, counts binary"
@@ -75,7 +77,7 @@ def expand(raw: bytes) -> np.ndarray:
     return out
 
 
-def grams_of(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams_of(w: Words, bits: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order, the hashes of the n-grams and the position of their last word."""
     n, text = len(w.hashes), w.text_of
     out = []
@@ -86,18 +88,25 @@ def grams_of(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
         for back in range(order):
             h += w.hashes[last - back] * U64(power)
             power = power * _BASE % (1 << 64)
-        out.append((mix64(h) >> U64(64 - HASH_BITS), last))
+        out.append((mix64(h) >> U64(64 - bits), last))
     return out
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(b << HASH_BITS) // buckets for b in range(1, buckets)], dtype=U64)
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each distinct value occurs, the rank of every value among the distinct ones), by one sort."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]][:len(values)]
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[order] = np.cumsum(first) - 1
+    return np.diff(np.r_[np.flatnonzero(first), len(values)]), rank
 
 
-def _list(table: pa.Table, buckets: int) -> pa.Table:
+def _list(table: pa.Table, buckets: int, bits: int) -> pa.Table:
     w = words(*utf8(table.column("text")))
-    hashes, counts = np.unique(np.concatenate([h for h, _ in grams_of(w)]), return_counts=True)
-    cuts = np.r_[0, np.searchsorted(hashes, _edges(buckets)), len(hashes)]
+    hashes, counts = np.unique(np.concatenate([h for h, _ in grams_of(w, bits)]), return_counts=True)
+    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], dtype=U64)
+    cuts = np.r_[0, np.searchsorted(hashes, edges), len(hashes)]
     rows = [(b, s, e) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
     return pa.table({
         "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
@@ -112,7 +121,7 @@ def _total(table: pa.Table) -> pa.Table:
     lists = [unpack_sorted(r) for r in table.column("hashes").to_pylist()]
     hashes = np.concatenate(lists)
     counts = np.concatenate([expand(r) for r in table.column("counts").to_pylist()])
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     ordered = hashes[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     totals = np.add.reduceat(counts[order], first)
@@ -124,21 +133,20 @@ def _total(table: pa.Table) -> pa.Table:
         "counts": pa.array([squeeze(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _score(docs: pa.Table, replies: pa.Table, total_words: int) -> pa.Table:
+def _score(docs: pa.Table, replies: pa.Table, total_words: int, bits: int) -> pa.Table:
     w = words(*utf8(docs.column("text")))
     n, text = len(w.hashes), w.text_of
     seen = [np.zeros(n) for _ in range(ORDER + 1)]  # occurrences elsewhere of the n-gram that ends at each position
     if n:
-        grams = grams_of(w)
-        hashes = np.unique(np.concatenate([h for h, _ in grams]))
-        order = np.argsort(replies.column("bucket").to_numpy())
+        grams = grams_of(w, bits)
         answers = replies.column("counts").to_pylist()
-        totals = np.concatenate([expand(answers[i]) for i in order])
+        totals = np.concatenate([expand(answers[i]) for i in np.argsort(replies.column("bucket").to_numpy())])
+        _, place_of = ranked(np.concatenate([h for h, _ in grams]))  # the place of each n-gram in the chunk's list
+        at = 0
         for k, (h, last) in enumerate(grams, 1):
-            if len(h):
-                own_key = mix64(h ^ (text[last].astype(U64) << U64(40)))
-                _, back, own = np.unique(own_key, return_inverse=True, return_counts=True)
-                seen[k][last] = totals[np.searchsorted(hashes, h)] - own[back]
+            own, back = ranked(mix64(h ^ (text[last].astype(U64) * U64(_BASE))))
+            seen[k][last] = totals[place_of[at:at + len(h)]] - own[back]
+            at += len(h)
     lengths = np.diff(w.offsets)
     elsewhere = np.maximum(total_words - lengths, 1).astype(float)[text]
     place = np.arange(n) - w.offsets[:-1][text]
@@ -171,13 +179,14 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = dealt.groupBy("chunk").applyInArrow(lambda t: _list(t, buckets), _REQUEST)
-    replies = lists.groupBy("bucket").applyInArrow(_total, _REPLY)
     total_words = rows.mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0] or 0
+    bits = min(64, max(LEAST_BITS, SPARE_BITS + (ORDER * total_words).bit_length()))
+    lists = dealt.groupBy("chunk").applyInArrow(lambda t: _list(t, buckets, bits), _REQUEST)
+    replies = lists.groupBy("bucket").applyInArrow(_total, _REPLY)
     schema = (f"doc_id {kind}, n_words long, " + ", ".join(f"n_order{k} long" for k in range(ORDER + 1))
               + ", log_score double, log_per_word double")
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        lambda d, r: _score(d, r, total_words), schema)
+        lambda d, r: _score(d, r, total_words, bits), schema)
 
 
 def _word_counts(batches):

@@ -22,7 +22,7 @@ from payrecon.session import work_dir
 
 U64 = np.uint64
 SLICE = 1 << 20
-SUB_BATCH_BYTES = 8 << 20
+SUB_BATCH_BYTES = 4 << 20
 
 
 # -- hashing -------------------------------------------------------------------------------------------------
@@ -39,6 +39,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for long arrays several times faster than ``np.unique`` without counts."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 _BYTE_HASH = mix64(np.arange(1, 257, dtype=U64))
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -182,6 +188,19 @@ def chars_at(data: np.ndarray, begin: int, positions: np.ndarray) -> np.ndarray:
 
 # -- Spark ---------------------------------------------------------------------------------------------------
 
+#: Rows of text that travel to a Python worker at once; the default of 10,000 documents would take tens of megabytes
+#: on both sides.
+BATCH_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Set the runtime settings that the operators' memory needs rely on (SQL settings, no restart needed)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 

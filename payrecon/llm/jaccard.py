@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from payrecon.llm.common import U64, Bloom, components, mix64, ngrams, staged, sub_batches, utf8, whole_groups, words
+from payrecon.llm.common import U64, Bloom, components, distinct, mix64, ngrams, staged, sub_batches, utf8, whole_groups, words
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: 24 bands of 4 values miss a pair of similarity 0.8 once in 300,000.
@@ -54,7 +54,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(sig), dtype=np.int32)
         sets = np.zeros((len(sig), 2), dtype=np.int64)
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            own = np.unique(grams[a:b])
+            own = distinct(grams[a:b])
             n[i] = len(own)
             sets[i] = own.sum().view(np.int64), (np.bitwise_xor.reduce(mix64(own)) if len(own) else U64(0)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -164,7 +164,7 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.
         for a, b in zip(starts, [*starts[1:], len(meeting)]):
             data, offsets = utf8(table.column("text").slice(a, b - a))
             grams, cuts = ngrams(words(data, offsets), SHINGLE)
-            sets = [np.unique(grams[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+            sets = [distinct(grams[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
             index = {int(v): k for k, v in enumerate(ids[a:b])}
             i = np.repeat(np.arange(b - a), [len(p) for p in partners[a:b]])
             j = np.array([index[p] for own in partners[a:b] for p in own], dtype=np.int64)
