@@ -9,32 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from payrecon.llm import decontaminate, jaccard, langid, packing, sanitise
-from payrecon.llm.common import staged
+from payrecon.llm.common import staged, tuned
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised (operator 10). Texts without a letter go, and so do texts whose best
     language is hardly above the others."""
+    tuned(spark)
     return langid.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more (operator 4): the one with the smallest id."""
+    tuned(spark)
     return jaccard.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item (operator 1)."""
+    tuned(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with identifiers and the terms that disclose them rewritten (operator 2); n_chars follows."""
+    tuned(spark)
     return sanitise.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences that hold every source in its share (operator 8)."""
+    tuned(spark)
     return packing.pack(docs)
 
 
