@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from payrecon.session import staged
+
 # ---------------------------------------------------------------------------
 # Columns always returned, other spellings of view columns, name parts of the default choice.
 # ---------------------------------------------------------------------------
@@ -124,6 +126,24 @@ def distinct_orders(df: DataFrame, key: str = "gateway_order_id") -> DataFrame:
     return picked.select(key, "_row.*")
 
 
-def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows in the order of all columns."""
-    return df.orderBy(*df.columns).limit(n)
+def first_rows(df: DataFrame, n: int, one_task: int = 10_000) -> DataFrame:
+    """The first ``n`` rows in the order of all columns.
+
+    Up to ``one_task`` rows are merged in one task. More are taken from a range-partitioned copy: whole partitions as
+    long as they fit, and the rest from the next one, so no task holds more than a partition.
+    """
+    if n <= one_task:
+        return df.orderBy(*df.columns).limit(n)
+    part = "_part"
+    ranges = staged(df.repartitionByRange(*df.columns).withColumn(part, F.spark_partition_id()), "ranges")
+    left, whole, last = n, [], None
+    for row in ranges.groupBy(part).count().orderBy(part).collect():
+        if row["count"] > left:
+            last = row[part]
+            break
+        whole.append(row[part])
+        left -= row["count"]
+    out = ranges.where(F.col(part) <= (whole[-1] if whole else -1)).drop(part)
+    if last is not None and left:
+        out = out.union(ranges.where(F.col(part) == last).drop(part).orderBy(*df.columns).limit(left))
+    return out

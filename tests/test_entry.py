@@ -6,6 +6,18 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import TABLES, _rows
 
+@pytest.fixture(autouse=True)
+def generated_code(spark):
+    """These tests run the code that the product runs."""
+    keys = ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")
+    old = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "true")
+    spark.conf.set(keys[1], "FALLBACK")
+    yield
+    for k, v in zip(keys, old):
+        spark.conf.set(k, v)
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 

@@ -130,3 +130,12 @@ def test_named_view_and_funnel(spark):
     assert spark.sql("SELECT bank_match_type FROM pv_test").count() == 1
     assert pv.drop_view(spark, "pv_test") and not pv.drop_view(spark, "pv_test")
     assert [r["n_rows"] for r in pv.stage_funnel(tables).orderBy("stage").collect()] == [1] * 6
+
+
+def test_first_rows_beyond_one_task(spark):
+    from payrecon.operators.selection import first_rows
+
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("a"), "id").repartition(5)
+    want = sorted(map(tuple, df.collect()))
+    for n in (0, 1, 120, 499, 500, 900):
+        assert sorted(map(tuple, first_rows(df, n, one_task=0).collect())) == want[:n]
