@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from payrecon.llm.common import U64, Words, mix64, utf8, words
 
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of a hash beyond those that number the corpus's n-grams, and the fewest bits.
 SPARE_BITS, LEAST_BITS = 18, 46
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -176,7 +176,8 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     rows = docs.select("doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Some ranges for each shuffle partition, so that a task holds a part of its share at a time.
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     total_words = rows.mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0] or 0
