@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from payrecon.functions import outcome as o
+from payrecon.session import staged
 
 GROUP = ("gateway_order_id", "gateway_transaction_id")
 GROUP_COLUMNS = (
@@ -60,7 +61,8 @@ def family_facts(keyed: DataFrame, payment_only: DataFrame, links: DataFrame) ->
         F.max("_loose").alias("_has_loose")).where("_any = 1 OR _has_loose")
     linked = links.select(F.col("_link_order").alias(GROUP[0]), F.col("_link_payment").alias(GROUP[1])).distinct().select(
         F.xxhash64(*GROUP).alias(_SPREAD), *GROUP, F.lit(True).alias("_linked"))
-    facts = facts.join(linked, [_SPREAD, *GROUP], "left")
+    # Narrow and read by both families: staged, so that the gateways are scanned for it once.
+    facts = staged(facts.join(linked, [_SPREAD, *GROUP], "left"), "facts")
 
     def both(name: str, keyed_counts: Column) -> Column:
         return F.greatest(F.when(keyed_counts, F.col(f"_k_{name}")), F.col(f"_l_{name}")).alias(name)
