@@ -34,7 +34,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_RUN = 20
-RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+#: Whole runs, tried from their start only, so that a word costs one try and not one for each of its letters.
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN
 #: Encodings in the order they are tried: pattern of the whole run (without padding) and alphabet in its order.
 ENCODINGS = (
     ("digits", r"^[0-9]+$", "0123456789"),
@@ -51,15 +52,21 @@ SPAN = "struct<start:int,end:int,match:string>"
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all leftmost non-overlapping matches, in code points."""
-    marked = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), pattern, "\x01$0\x02"), "\x01", -1)
+    odd = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    text = F.when(odd, F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
+    marked = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01", -1)
 
     def add(acc: Column, piece: Column) -> Column:
         match = F.substring_index(piece, "\x02", 1)
         found = F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(match)).alias("end"), match.alias("match"))
         return F.struct((acc["pos"] + F.length(piece) - 1).alias("pos"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-    first = F.struct(F.length(F.element_at(marked, 1)).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    return F.aggregate(F.slice(marked, 2, F.size(marked)), first, add, lambda acc: acc["found"])
+    def fold(pieces: Column) -> Column:
+        first = F.struct(F.length(F.element_at(pieces, 1)).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, add, lambda acc: acc["found"])
+
+    # Through an array of one element, so that the pieces are made once though they are used three times.
+    return F.element_at(F.transform(F.array(marked), fold), 1)
 
 
 def _normal(z: Column) -> Column:
@@ -151,9 +158,15 @@ def scan(docs: DataFrame, q: float = 0.01) -> DataFrame:
     def of(kind: int, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    assign = F.filter(_matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 6)
-    base = F.array_sort(F.concat(of(0, assign), of(1, _matches(text, ACCESS)), of(2, _matches(text, HEX))))
-    first = staged(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), base.alias("base"), _matches(text, RUN).alias("runs")), "secret-runs")
+    nothing = F.array().cast(f"array<{SPAN}>")
+    found = F.filter(_matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 6)
+    # An assignment holds a colon or an equals sign, and the other two patterns match inside runs only.
+    assign = F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), found).otherwise(nothing)
+    inside = F.size("runs") > 0
+    access, digits = (F.when(inside, _matches(text, p)).otherwise(nothing) for p in (ACCESS, HEX))
+    base = F.array_sort(F.concat(of(0, assign), of(1, access), of(2, digits)))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), _matches(text, RUN).alias("runs"))
+    first = staged(rows.select("doc_id", "row", base.alias("base"), "runs"), "secret-runs")
     each = first.select("row", F.explode("runs").alias("m")).select("row", "m.start", "m.end", F.col("m.match").alias("token"))
     random = discoveries(each.select("token").distinct(), q)
     extra = each.join(random, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("extra"))
