@@ -1,20 +1,18 @@
 """Repeated passages by a sparse suffix array.
 
-Of the suffixes of all texts, those that begin at a content-selected position are kept: a position is a minimiser if its
-hash of 20 words is the smallest in some stretch of 31 neighbouring ones. Any passage of 50 words holds a minimiser, and
-equal passages hold the same. The suffixes are sorted by the hash, by the words that follow, then by the words
-before, and neighbours of different documents are compared: the match is extended to the right and to the left, and
-reported if it reaches ``min_words``. The nearest neighbour has the longest match to the right, but another suffix of the
-same hash may match further to the left, so the ``NEIGHBOURS`` rows on either side are compared as well. A row carries the 31 words on either side, which is as far as the next minimiser
-can be, so longer matches are put together from those of their minimisers.
-
-The sort is a range partitioning over all sort keys, so a passage that very many documents share is split over tasks;
-the first and last ``NEIGHBOURS`` suffixes of every partition are compared with the neighbouring partition's afterwards. Suffixes
-whose hash occurs once cannot match and are left out before the words around them are gathered: hashes are counted
-over all texts, and a filter of fixed size made from the repeated ones is passed to the tasks.
-
-Words are compared by hashes (64 bits for the 20, 32 bits for each one around them). Texts in which a word and the gap
-after it take 65,535 characters or more are cut there.
+Of the 20-word grams of all texts, those at content-selected positions stand for the suffixes that begin there: a gram is
+a minimiser if its hash is the smallest in some stretch of 31 neighbouring ones. Any passage of 50 words is such a stretch
+and holds one minimiser as its smallest, and equal passages hold the same. A passage of more than 50 words repeats exactly
+where its windows of 50 words do, so these are what is compared: every way to lay ``min_words`` words around a minimiser.
+Each window is keyed by its minimiser and a hash of all its words, the smallest and the largest document of a key are
+taken, and the windows whose key holds two documents are joined back and put together. No neighbourhood in a sorted order
+is involved, so it does not matter how many suffixes share a hash, or in what order or partition they lie.
+
+The documents of a key are counted with partial aggregates, and the keys that repeat are written before the join, so a
+passage that very many documents share is split over tasks. Minimisers that one document alone holds cannot match: their
+windows are left out before they are shuffled by a filter of fixed size made from the shared ones.
+
+Words are compared by hashes (64 bits for the minimiser and 64 for the window).
 
 Defined results: null, empty and short texts hold no passage; a passage repeated within one document only is not
 reported; rows with a null id are left out; rows that share an id count as one document; an empty table gives no rows.
@@ -29,14 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from payrecon.llm.common import U64, Bloom, Words, ngrams, staged, sub_batches, utf8, whole_groups, words
+from payrecon.llm.common import U64, Bloom, Words, mix64, ngrams, staged, sub_batches, utf8, words
 
 MIN_WORDS, GRAM = 50, 20
-STRETCH = MIN_WORDS - GRAM + 1
-AROUND = STRETCH
-NEIGHBOURS = 16
 _FILTER_BITS = 24
-_SUFFIX = "h long, after binary, before binary, doc_id long, place int, at int, ends int, steps binary, reach_after int, reach_before int"
+_BASE = 0x9FB21C651E98DF25
 
 
 def _sliding(values: np.ndarray, size: int, take) -> np.ndarray:
@@ -51,144 +46,88 @@ def _sliding(values: np.ndarray, size: int, take) -> np.ndarray:
     return out
 
 
-def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word positions, hashes) of the minimisers of every text of at least MIN_WORDS words."""
+def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, minimiser, hash of all words) of every window of ``size`` words that lies in one text."""
     grams, cuts = ngrams(w, GRAM)
-    n = len(grams)
-    if not n:
-        return np.zeros(0, np.int64), grams
+    stretch = size - GRAM + 1
     counts = np.diff(cuts)
-    first_gram = np.repeat(cuts[:-1], counts)
-    words_of = np.repeat(w.offsets[:-1], counts) + np.arange(n) - first_gram
-    whole = np.arange(n) + STRETCH <= np.repeat(cuts[1:], counts)  # stretches inside one text
-    least = _sliding(grams, STRETCH, np.minimum)
-    least[~whole] = 0
-    # A gram is selected if it is the minimum of a whole stretch around it: their minima are at most the gram itself.
-    most = _sliding(least[::-1], STRETCH, np.maximum)[::-1]
-    # One word over and over gives equal grams side by side; the first of them stands for all.
-    again = np.r_[False, (grams[1:] == grams[:-1]) & (first_gram[1:] == first_gram[:-1])]
-    at = np.flatnonzero((most == grams) & ~again & (np.repeat(np.diff(w.offsets), counts) >= MIN_WORDS))
-    return words_of[at], grams[at]
-
-
-def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(np.arange(len(grams)) + stretch <= np.repeat(cuts[1:], counts))
+    if not len(at):
+        return at, grams[:0], grams[:0]
+    first = np.repeat(w.offsets[:-1] - cuts[:-1], counts)[at] + at
+    whole, power = np.zeros(len(at), dtype=U64), 1
+    for j in (*range(0, size - GRAM, GRAM), size - GRAM):  # grams side by side, the last one at the end
+        whole += grams[at + j] * U64(power)
+        power = power * _BASE % (1 << 64)
+    return first, _sliding(grams, stretch, np.minimum)[at], mix64(whole)
+
+
+def _minimisers(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(h, lo, hi): minimisers of a batch with the smallest and the largest document that hold them."""
     for batch in sub_batches(batches):
         w = words(*utf8(batch.column("text")))
-        values, n = np.unique(minimisers(w)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+        first, h, _ = windows(w, size)
+        if not len(h):
+            continue
+        new = np.r_[True, h[1:] != h[:-1]]  # a minimiser is that of many windows in a row
+        text = np.searchsorted(w.offsets, first, side="right") - 1
+        new |= np.r_[True, text[1:] != text[:-1]]
+        h, doc = h[new], batch.column("doc_id").to_numpy()[text[new]]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+            h[head].view(np.int64), doc[head], doc[np.r_[head[1:], len(h)] - 1])], ["h", "lo", "hi"])
+
 
+_WINDOW = "h long, g long, doc_id long, place int, start int, end int"
 
-def _suffixes(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
+
+def _windows(batches: Iterable[pa.RecordBatch], size: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """The windows whose minimiser may be in two documents."""
     for batch in sub_batches(batches, limit=2 << 20):
         data, offsets = utf8(batch.column("text"))
         w = words(data, offsets)
-        at, h = minimisers(w)
+        first, h, g = windows(w, size)
         hit = wanted.has(h)
-        at, h = at[hit], h[hit]
-        if not len(at):
+        first, h, g = first[hit], h[hit], g[hit]
+        if not len(first):
             continue
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
-        starts, ends = chars[w.starts], chars[w.ends]
-        text = w.text_of[at]
-        low, high = w.offsets[text], w.offsets[text + 1]
-        reach = np.arange(1, AROUND + 1)
-        short = w.hashes.astype(np.uint32)
-        after = at[:, None] + GRAM - 1 + reach
-        before = at[:, None] - reach
-        has_after, has_before = after < high[:, None], before >= low[:, None]
-        after, before = np.minimum(after, len(short) - 1), np.maximum(before, 0)
-        step_after, step_before = ends[after] - ends[np.maximum(after - 1, 0)], starts[np.minimum(before + 1, len(short) - 1)] - starts[before]
-        has_after &= np.logical_and.accumulate((step_after < 65535) | ~has_after, axis=1)
-        has_before &= np.logical_and.accumulate((step_before < 65535) | ~has_before, axis=1)
-        words_after, words_before = np.where(has_after, short[after], 0), np.where(has_before, short[before], 0)
-        steps = np.concatenate([np.where(has_after, step_after, 0), np.where(has_before, step_before, 0)], axis=1).astype("<u2")
+        text = np.searchsorted(w.offsets, first, side="right") - 1
         base = chars[offsets[text]]
-        binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
         yield pa.RecordBatch.from_arrays([
-            pa.array(h.view(np.int64)), binary(words_after.astype(">u4")), binary(words_before.astype(">u4")),
-            batch.column("doc_id").take(pa.array(text)), pa.array((at - low).astype(np.int32)), pa.array((starts[at] - base).astype(np.int32)),
-            pa.array((ends[at + GRAM - 1] - base).astype(np.int32)), binary(steps), pa.array(has_after.sum(1).astype(np.int32)),
-            pa.array(has_before.sum(1).astype(np.int32))],
-            ["h", "after", "before", "doc_id", "place", "at", "ends", "steps", "reach_after", "reach_before"])
-
-
-def _matrix(table: pa.Table, column: str, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind).reshape(-1, width)
-
-
-def _common(own: np.ndarray, other: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Equal leading words of two rows of contexts, within ``reach``."""
-    differ = np.concatenate([own != other, np.ones((len(own), 1), bool)], axis=1)
-    return np.minimum(differ.argmax(1), reach)
-
-
-def _compare(table: pa.Table, min_words: int) -> list[np.ndarray]:
-    """Matches of sorted suffixes with their nearest neighbours of other documents: doc, word range, character range, other."""
-    h, doc, place, at, ends, ra, rb = (table.column(c).to_numpy() for c in ("h", "doc_id", "place", "at", "ends", "reach_after", "reach_before"))
-    after, before = _matrix(table, "after", ">u4", AROUND), _matrix(table, "before", ">u4", AROUND)
-    steps = _matrix(table, "steps", "<u2", 2 * AROUND).astype(np.int64)
-    n = len(h)
-    index = np.arange(n)
-    change = np.r_[True, doc[1:] != doc[:-1]]
-    previous = np.maximum.accumulate(np.where(change, index, 0)) - 1
-    following = n - np.maximum.accumulate(np.where(np.r_[doc[1:] != doc[:-1], True][::-1], index, 0))[::-1]
-    out = []
-    for other in (previous, following, *(index + d for near in range(2, NEIGHBOURS + 1) for d in (near, -near))):
-        i = np.flatnonzero((other >= 0) & (other < n))
-        i = i[(h[i] == h[other[i]]) & (doc[i] != doc[other[i]])]
-        j = other[i]
-        right = _common(after[i], after[j], np.minimum(ra[i], ra[j]))
-        left = _common(before[i], before[j], np.minimum(rb[i], rb[j]))
-        good = left + right + GRAM >= min_words
-        i, j, left, right = i[good], j[good], left[good], right[good]
-        sums = np.concatenate([np.zeros((len(i), 1), np.int64), np.cumsum(steps[i, :AROUND], axis=1)], axis=1)
-        back = np.concatenate([np.zeros((len(i), 1), np.int64), np.cumsum(steps[i, AROUND:], axis=1)], axis=1)
-        row = np.arange(len(i))
-        out.append(np.stack([doc[i], place[i] - left, place[i] + GRAM + right, at[i] - back[row, left], ends[i] + sums[row, right], doc[j]], axis=1))
-    return np.concatenate(out)
-
-
-_MATCH = ["doc_id", "first_word", "last_word", "start", "end", "other_doc"]
-
-
-def _neighbours(batches: Iterable[pa.RecordBatch], min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Matches within a sorted partition, read some rows at a time; with ``edges`` also its first and last suffixes."""
-    held = first = None
-    nothing = [pa.nulls(0)] * len(_MATCH)
-
-    def result(found: np.ndarray, table: pa.Table) -> pa.RecordBatch:
-        n, m = len(found), table.num_rows
-        columns = [pa.concat_arrays([pa.array(found[:, c], pa.int64()), pa.nulls(m, pa.int64())]) for c in range(len(_MATCH))]
-        carried = [pa.concat_arrays([pa.nulls(n, f.type), *table.column(f.name).chunks]) for f in table.schema]
-        return pa.RecordBatch.from_arrays([*columns, *carried], [*_MATCH, *["e_" + f.name for f in table.schema]])
+            pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("doc_id").take(pa.array(text)),
+            pa.array((first - w.offsets[text]).astype(np.int32)), pa.array((chars[w.starts[first]] - base).astype(np.int32)),
+            pa.array((chars[w.ends[first + size - 1]] - base).astype(np.int32))], ["h", "g", "doc_id", "place", "start", "end"])
+
+
+def _merged(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Overlapping windows of each document as one passage, from a partition sorted by document and place. Only the
+    passage that a batch ends in is kept for the next."""
+    held = None
+
+    def result(rows: list[np.ndarray]) -> pa.RecordBatch:
+        doc, a, b, s, e, other = rows
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, s, e, b - a, other)], ["doc_id", "start", "end", "n_words", "other_doc"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if first is None or first.num_rows < NEIGHBOURS:
-            first = table.slice(0, NEIGHBOURS) if first is None else pa.concat_tables([first, table.slice(0, NEIGHBOURS - first.num_rows)])
-        joined = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        found = _compare(joined, min_words)
-        yield result(np.unique(found, axis=0), table.slice(0, 0))
-        # The last rows of one document, and the row before them, meet the next batch.
-        doc = joined.column("doc_id").to_numpy()
-        other = np.flatnonzero(doc != doc[-1])
-        held = joined.slice(max(int(other[-1]) if len(other) else 0, joined.num_rows - 64))
-    if edges and first is not None:
-        yield result(np.zeros((0, len(_MATCH)), np.int64), pa.concat_tables([first, held.slice(max(0, held.num_rows - NEIGHBOURS))]).combine_chunks())
-
-
-def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping matches of each document as one passage."""
-    for table in whole_groups(batches, "doc_id"):
-        doc, a, b, s, e, other = (table.column(c).to_numpy() for c in _MATCH)
+        doc, a, s, e, other = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "place", "start", "end", "other_doc"))
+        rows = [doc, a, a + size, s, e, other]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        doc, a, b, s, e, other = rows
         number = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]).astype(np.int64)
         reach = np.maximum.accumulate((number << 34) + b)
         cut = np.flatnonzero(np.r_[True, (number[1:] << 34) + a[1:] >= reach[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            doc[cut], s[cut], np.maximum.reduceat(e, cut), np.maximum.reduceat(b, cut) - a[cut], np.minimum.reduceat(other, cut))],
-            ["doc_id", "start", "end", "n_words", "other_doc"])
+        rows = [doc[cut], a[cut], np.maximum.reduceat(b, cut), s[cut], np.maximum.reduceat(e, cut), np.minimum.reduceat(other, cut)]
+        held = [x[-1:] for x in rows]
+        if len(cut) > 1:
+            yield result([x[:-1] for x in rows])
+    if held is not None:
+        yield result(held)
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -197,19 +136,16 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words < MIN_WORDS:
         raise ValueError(f"min_words must be {MIN_WORDS} or more")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeated = rows.mapInArrow(_hashes, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = rows.sparkSession.sparkContext.broadcast(Bloom.of(repeated, "h", _FILTER_BITS))
-    suffixes = staged(rows.mapInArrow(lambda it: _suffixes(it, shared.value), _SUFFIX), "suffixes")
-    order = ["h", "after", "before", "doc_id", "place"]
+    shared = rows.mapInArrow(lambda it: _minimisers(it, min_words), "h long, lo long, hi long").groupBy("h").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    wanted = rows.sparkSession.sparkContext.broadcast(Bloom.of(shared, "h", _FILTER_BITS))
+    # Made twice, for the keys and for the join: written, they would take more disk than the text.
+    found = rows.mapInArrow(lambda it: _windows(it, min_words, wanted.value), _WINDOW)
+    repeated = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # Written first, so that both sides of the join come straight from a shuffle and a hot window can be split.
+    repeated = staged(repeated, "repeated-windows")
+    other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other_doc")
+    matches = found.join(repeated, ["h", "g"]).select("doc_id", "place", "start", "end", other)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    carried = ", ".join("e_" + c.strip() for c in _SUFFIX.split(","))
-    schema = ", ".join(f"{c} long" for c in _MATCH) + ", " + carried
-    # The borders of the ranges are drawn on the hash, two words and the document: the driver samples short keys only.
-    ordered = suffixes.repartitionByRange(n, "h", F.substring("after", 1, 8), "doc_id").sortWithinPartitions(*order)
-    found = staged(ordered.mapInArrow(lambda it: _neighbours(it, min_words, True), schema), "matches")
-    # A few rows of each partition: what stands at the borders. Their number is that of the partitions, not of the texts.
-    ends = found.where("doc_id IS NULL").select(*[F.col("e_" + c).alias(c) for c in suffixes.columns])
-    borders = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, min_words, False), schema)
-    matches = found.where("doc_id IS NOT NULL").select(*_MATCH).union(borders.where("doc_id IS NOT NULL").select(*_MATCH))
-    return matches.repartition(n, "doc_id").sortWithinPartitions("doc_id", "first_word").mapInArrow(
-        _merged, "doc_id long, start long, end long, n_words long, other_doc long")
+    return matches.repartition(n, "doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(
+        lambda it: _merged(it, min_words), "doc_id long, start long, end long, n_words long, other_doc long")

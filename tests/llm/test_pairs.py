@@ -139,6 +139,42 @@ def test_suffixes_find_exactly_the_passages_of_fifty_words(spark):
             assert len(tokens(texts[r.doc_id][r.start:r.end])) == r.n_words >= 60
 
 
+def covered(rows, k):
+    """Words of each text that lie in a window of k words which another document holds as well."""
+    first, out = {}, Counter()
+    for i, t in rows:
+        w = tokens(t)
+        for p in range(len(w) - k + 1):
+            first.setdefault(tuple(w[p:p + k]), set()).add(i)
+    for i, t in rows:
+        w, hit = tokens(t), set()
+        for p in range(len(w) - k + 1):
+            if len(first[tuple(w[p:p + k])]) > 1:
+                hit |= set(range(p, p + k))
+        if hit:
+            out[i] = len(hit)
+    return out
+
+
+def words_found(found):
+    out = Counter()
+    for r in found:
+        out[r.doc_id] += r.n_words
+    return out
+
+
+def unlike(seed, n):
+    return " ".join(f"w{seed}x{i}" for i in range(n))
+
+
+def test_suffixes_of_a_lead_shared_by_many_meet_wherever_their_documents_lie(spark):
+    last = [unlike(b + 300_000 if n in (7, 193) else b * 1000 + n, 12) for b in range(4) for n in range(200)]
+    texts = [unlike(i, 30) + " " + prose(700 + i // 200, 40) + " " + x + " " + unlike(i + 200_000, 30) for i, x in enumerate(last)]
+    expected = covered(list(enumerate(texts)), 50)
+    assert set(expected) == {b * 200 + n for b in range(4) for n in (7, 193)}
+    assert words_found(suffixes.passages(table(spark, texts)).collect()) == expected
+
+
 def test_chunks_find_the_passages_and_leave_lines_alone(spark):
     texts, shared = passages_in_texts()
     found = chunks.repeats(table(spark, texts)).collect()
