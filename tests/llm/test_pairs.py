@@ -175,6 +175,19 @@ def test_suffixes_of_a_lead_shared_by_many_meet_wherever_their_documents_lie(spa
     assert words_found(suffixes.passages(table(spark, texts)).collect()) == expected
 
 
+def left_shared(copies):
+    """Documents of a common text followed by different words; those of a pair, far apart, share words before it as well."""
+    return [unlike(n, 40) + " " + unlike(n - n % 1000 + n % 1000 % (copies // 2) + 100_000, 12) + " " + prose(600 + b, 42) + " " + unlike(n + 200_000, 40)
+            for b in range(4) for n in range(b * 1000, b * 1000 + copies)]
+
+
+def test_suffixes_of_a_frequent_text_are_extended_to_the_left(spark):
+    texts = left_shared(80)
+    expected = covered(list(enumerate(texts)), 50)
+    assert set(expected) == set(range(len(texts)))
+    assert words_found(suffixes.passages(table(spark, texts)).collect()) == expected
+
+
 def test_chunks_find_the_passages_and_leave_lines_alone(spark):
     texts, shared = passages_in_texts()
     found = chunks.repeats(table(spark, texts)).collect()
