@@ -188,6 +188,20 @@ def test_suffixes_of_a_frequent_text_are_extended_to_the_left(spark):
     assert words_found(suffixes.passages(table(spark, texts)).collect()) == expected
 
 
+def test_suffixes_do_not_depend_on_the_batches(spark):
+    texts = left_shared(12)
+    texts += [" ".join([prose(610, 60)] * 80), prose(610, 60) + " " + unlike(7, 50)]
+    expected = covered(list(enumerate(texts)), 50)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows in (2, 5):
+            spark.conf.set(key, rows)
+            assert words_found(suffixes.passages(table(spark, texts)).collect()) == expected
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_chunks_find_the_passages_and_leave_lines_alone(spark):
     texts, shared = passages_in_texts()
     found = chunks.repeats(table(spark, texts)).collect()
