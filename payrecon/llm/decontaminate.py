@@ -1,11 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask reads some of 12 consecutive words and ignores the rest, so a substituted word in an ignored place does not change
+A mask reads some of 9 to 12 consecutive words and ignores the rest, so a substituted word in an ignored place does not change
 the hash. Every window of every benchmark item and of every document is hashed under each of the fixed masks. A filter
 of fixed size, made from the benchmark's hashes, drops nearly all windows of the documents inside the task that read
 them; the rest are joined with the benchmark's hashes. A hit gives a diagonal (place in the document minus place in the
-item), on which the words around it are compared: the best run with few substitutions must reach ``min_words`` equal
-words (all of a shorter item) at ``min_identity``.
+item), on which the words around it (64 on either side of the hits) are compared: the run with the most equal words of those at
+``min_identity`` must reach ``min_words`` equal words (all of a shorter item).
+
+The masks hit every run of 13 or more equal words at identity 0.8 or more. A run of 32 words or more has a half that is
+such a run too, and the ends of a shorter one can be cut until it has 13, 14, 15, 16, 20, 25 or 30 words with 0 to 6
+substitutions; all of these were enumerated (the test does it again). Weaker parameters are not taken.
 
 The same plan runs at every size of either table. Only one row per (document, item, diagonal) goes on to verification, so
 a passage costs the same however many of its windows hit; a passage shared by many documents makes a hot hash, which the
@@ -20,6 +24,7 @@ pass through.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +32,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from payrecon.llm.common import U64, Bloom, Words, chars_at, mix64, staged, sub_batches, utf8, words
 
-#: 1 reads a word, 0 ignores it. Every pair of places is ignored together by one mask or avoided by a shifted window.
-MASKS = ("110110101111", "111010011101", "101111010110", "111101110010")
-SPAN = len(MASKS[0])
+#: 1 reads a word, 0 ignores it. Found by search; together they hit every run that the rule admits.
+MASKS = ("11101011011", "110110001111", "111110111", "111001010111", "101001101111", "111110100011",
+         "111101111", "111111001001", "1010111111", "11001101111", "111110110001", "110000111111")
+SPAN = max(map(len, MASKS))
 CONTEXT = 64
+MIN_WORDS, MIN_IDENTITY = 13, 0.8
 _BASE = 0xA24BAED4963EE407
-_FILTER_BITS = 23
+_FILTER_BITS = 25
 
 
-def seeds(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes by mask, positions): hashes of all windows that lie in one text, one row per mask."""
+def seeds(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions) by mask, of all its windows that lie in one text."""
     n = len(w.hashes)
-    at = np.arange(max(0, n - SPAN + 1))
-    at = at[at + SPAN <= np.repeat(w.offsets[1:], np.diff(w.offsets))[:len(at)]] if len(at) else at
-    power, parts = 1, np.zeros((len(MASKS), len(at)), dtype=U64)
-    for j in range(SPAN):
-        term = w.hashes[at + j] * U64(power)
-        for m, mask in enumerate(MASKS):
-            if mask[j] == "1":
-                parts[m] += term
+    end = np.repeat(w.offsets[1:], np.diff(w.offsets))
+    power, scaled = 1, []
+    for _ in range(SPAN):
+        scaled.append(w.hashes * U64(power))
         power = power * _BASE % (1 << 64)
-    for m in range(len(MASKS)):
-        parts[m] = mix64(parts[m] + U64(m))
-    return parts, at
+    out = []
+    for m, mask in enumerate(MASKS):
+        starts = max(0, n - len(mask) + 1)
+        total = np.full(starts, m, dtype=U64)
+        for j, read in enumerate(mask):
+            if read == "1":
+                total += scaled[j][j:j + starts]
+        at = np.flatnonzero(np.arange(starts) + len(mask) <= end[:starts])
+        out.append((mix64(total[at]), at))
+    return out
 
 
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches):
         w = words(*utf8(batch.column("text")))
-        parts, at = seeds(w)
-        text_of = w.text_of[at] if len(at) else at
-        for row in parts:
+        for hashes, at in seeds(w):
+            text_of = w.text_of[at]
+            long = np.diff(w.offsets)[text_of] >= SPAN
+            hashes, at, text_of = hashes[long], at[long], text_of[long]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row.view(np.int64)), batch.column("item").take(pa.array(text_of)),
+                [pa.array(hashes.view(np.int64)), batch.column("item").take(pa.array(text_of)),
                  pa.array((at - w.offsets[text_of]).astype(np.int32))], ["h", "item", "place"])
 
 
@@ -75,8 +86,7 @@ def _regions(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.Re
     for batch in sub_batches(batches):
         data, offsets = utf8(batch.column("text"))
         w = words(data, offsets)
-        parts, at = seeds(w)
-        hits = [(h[k], at[k]) for h in parts for k in [np.flatnonzero(wanted.has(h))]]
+        hits = [(h[k], at[k]) for h, at in seeds(w) for k in [np.flatnonzero(wanted.has(h))]]
         hashes, places = np.concatenate([h for h, _ in hits]), np.concatenate([p for _, p in hits])
         if not len(hashes):
             continue
@@ -97,19 +107,25 @@ def _regions(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.Re
 
 
 def _verify(batches: Iterable[pa.RecordBatch], min_words: int, min_identity: float) -> Iterator[pa.RecordBatch]:
-    """Best run of each diagonal: +1 for an equal word, -2 for a substitution."""
+    """The run of each diagonal with the most equal words among those whose share of equal words is ``min_identity``."""
+    share = Fraction(str(min_identity))
+    gain, loss = share.denominator - share.numerator, share.numerator  # a run's sum is not negative if it reaches the share
     for batch in batches:
         out = []
         for i, (own, item, diagonal, chars) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "item_words", "diagonal", "chars")))):
             own, item = np.frombuffer(own, U64), np.frombuffer(item, U64)
             low, high = max(0, diagonal), min(len(own), len(item) + diagonal)
             same = own[low:high] == item[low - diagonal:high - diagonal]
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            least = np.minimum.accumulate(total)
-            end = int(np.argmax(total - least))
-            start = int(np.flatnonzero(total[:end + 1] == least[end])[-1])
-            n, equal = end - start, int(same[start:end].sum())
-            if n and equal >= min(min_words, len(item)) and equal >= min_identity * n:
+            total = np.concatenate([[0], np.cumsum(np.where(same, gain, -loss))])
+            seen = np.concatenate([[0], np.cumsum(same)])
+            # For each end the first start from which the sum is not negative; no later one has more equal words.
+            begin = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+            end = int(np.argmax(seen - seen[begin]))
+            start = int(begin[end])
+            equal = int(seen[end] - seen[start])
+            start += int(np.argmax(same[start:end])) if equal else 0  # begins with an equal word, and so it ends
+            n = end - start
+            if n and equal >= min(min_words, len(item)):
                 marks = np.frombuffer(chars, "<i4").reshape(2, -1)
                 out.append((i, int(marks[0, low + start]), int(marks[1, low + end - 1]), equal, n, low + start - diagonal))
         if out:
@@ -121,10 +137,12 @@ def _verify(batches: Iterable[pa.RecordBatch], min_words: int, min_identity: flo
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", min_words: int = 13, min_identity: float = 0.8,
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY,
 ) -> DataFrame:
     """The longest verified overlap of each document and item: key, item, start, end (code points), item_word (where it
     begins in the item), equal_words and n_words."""
+    if min_words < MIN_WORDS or min_identity < MIN_IDENTITY:
+        raise ValueError(f"min_words must be {MIN_WORDS} or more and min_identity {MIN_IDENTITY} or more")
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), "text")
     own_seeds = staged(items.mapInArrow(_item_seeds, f"h long, item {item_kind}, place int").distinct(), "item-seeds")

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -38,6 +39,49 @@ def test_substituted_passages_are_found_where_they_stand(spark):
     assert tokens(text[found[0].start:found[0].end]) == [w.lower() for w in passage]
 
 
+def test_masks_hit_every_pattern_of_the_rule():
+    for n, k in ((13, 0), (14, 1), (15, 2), (16, 3), (20, 4), (25, 5), (30, 6)):
+        changed = (1 << np.array(list(combinations(range(n), k)), dtype=np.int64)).sum(1) if k else np.zeros(1, np.int64)
+        hit = np.zeros(len(changed), bool)
+        for mask in decontaminate.MASKS:
+            read = sum(1 << j for j, c in enumerate(mask) if c == "1")
+            for at in range(n - len(mask) + 1):
+                hit |= changed & (read << at) == 0
+        assert hit.all(), (n, k)
+
+
+def brute_overlap(doc, item):
+    """Most equal words of a run on any diagonal at identity 0.8."""
+    best = 0
+    for d in range(-len(item) + 1, len(doc)):
+        same = [doc[p] == item[p - d] for p in range(max(0, d), min(len(doc), len(item) + d))]
+        for a in range(len(same)):
+            for b in range(a + 1, len(same) + 1):
+                equal = sum(same[a:b])
+                if 5 * equal >= 4 * (b - a):
+                    best = max(best, equal)
+    return best
+
+
+def test_overlaps_equal_brute_force(spark):
+    item = unlike(900, 70).split()
+    rng = np.random.default_rng(5)
+    changes = [[6, 7, 8, *range(16, 70)], [*range(13, 70, 4)], [3, 6, 9, *range(16, 70)], [3, 7, 11, *range(15, 70)], [4, 8, *range(15, 70)]]
+    changes += [rng.choice(70, n, replace=False) for n in (8, 14, 18, 22) for _ in range(8)]
+    changes += [[p for p in range(70) if not a <= p < a + 16 or p in a + rng.choice(16, k, replace=False)] for a in range(0, 50, 5) for k in (2, 3, 4)]
+    docs = []
+    for i, change in enumerate(changes):
+        copy = list(item)
+        for p in change:
+            copy[p] = f"c{i}n{p}"
+        docs.append(copy)
+    expected = {i: n for i, d in enumerate(docs) if (n := brute_overlap(d, item)) >= 13}
+    assert {0, 1, 2} <= set(expected)
+    found = decontaminate.overlaps(table(spark, [" ".join(d) for d in docs]), items(spark, [" ".join(item), " ".join(item[:11])])).collect()
+    assert {r.doc_id: r.equal_words for r in found} == expected
+    assert all(r.item_id == 0 and 5 * r.equal_words >= 4 * r.n_words for r in found)
+
+
 def test_decontamination_of_awkward_tables(spark):
     docs = awkward(spark)
     bench = items(spark, [prose(1, 80), None])
