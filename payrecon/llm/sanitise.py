@@ -4,11 +4,13 @@ Patterns give the protected entities (an e-mail address, an IP address, a card o
 strongly a term t reveals an entity e is estimated from the corpus: with p(e), p(t) and p(e,t) the shares of the
 documents that hold them (t within ``window`` words of e), the disclosure is PMI(e;t) / IC(e) = log(p(e,t) / p(e) p(t)) /
 -log p(e). It is 1 if every document with t holds e. Terms that co-occur with the entity in at least ``support``
-distinct texts and reach ``generalise_at`` are replaced by a general word, and at ``remove_at`` removed. An entity's own
+distinct texts and reach ``generalise_at`` are replaced by a general word, and at ``remove_at`` removed, wherever they
+stand in any text: near the entity, far from it, or where the entity itself is not named. An entity's own
 characters are always replaced by the name of its kind.
 
 Only the windows around entities are exploded. The corpus frequency of the candidate terms is counted over all texts; a
-filter of fixed size keeps other words from being shuffled, and an exact join follows. Copies of a text count as
+filter of fixed size keeps other words from being shuffled, and an exact join follows; the occurrences of the disclosing
+terms are found in the same way. Copies of a text count as
 documents but not for the support, and share their spans, which are worked out once per distinct text.
 
 Defined results: null and empty texts have no spans and stay as they are; extra columns pass through; repeated rows
@@ -38,11 +40,11 @@ _FILTER_BITS = 23
 
 
 _FOUND = ("kinds array<int>, starts array<int>, ends array<int>, entities array<binary>, "
-          "context array<struct<entity:binary,term:long,start:int,end:int>>")
+          "context array<struct<entity:binary,term:long>>")
 _ARROW = pa.schema([
     ("digest", pa.binary()), ("kinds", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())),
     ("ends", pa.list_(pa.int32())), ("entities", pa.list_(pa.binary())),
-    ("context", pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+    ("context", pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.int64())])))])
 
 
 def luhn(digits: str) -> bool:
@@ -102,8 +104,7 @@ def _context(text: str, found: list, values: list[bytes], window: int) -> list[d
     for (a, b), v in zip(spans, values):
         near = np.r_[max(0, a - window):a, b:min(len(starts), b + window)].astype(np.int64)
         near = near[~held[near]]
-        out += [{"entity": v, "term": t, "start": s, "end": e} for t, s, e in zip(
-            w.hashes[near].view(np.int64).tolist(), starts[near].tolist(), ends[near].tolist())]
+        out += [{"entity": v, "term": t} for t in w.hashes[near].view(np.int64).tolist()]
     return out
 
 
@@ -136,6 +137,27 @@ def _term_counts(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["term", "n"])
 
 
+def _occurrences(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """Places in code points of the words of all texts that may be disclosing terms, except words of identifiers."""
+    for batch in sub_batches(batches):
+        data, offsets = utf8(batch.column("text"))
+        w = words(data, offsets)
+        hit = np.flatnonzero(wanted.has(w.hashes))
+        if not len(hit):
+            continue
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+        text = w.text_of[hit]
+        base = chars[offsets[text]]
+        starts, ends, free = chars[w.starts[hit]] - base, chars[w.ends[hit]] - base, np.ones(len(hit), bool)
+        cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            for _, s, e, _ in identifiers(batch.column("text")[int(text[a])].as_py()):
+                free[a + np.searchsorted(ends[a:b], s, side="right"):a + np.searchsorted(starts[a:b], e)] = False
+        yield pa.RecordBatch.from_arrays([
+            batch.column("digest").take(pa.array(text[free])), pa.array(w.hashes[hit[free]].view(np.int64)),
+            pa.array(starts[free].astype(np.int32)), pa.array(ends[free].astype(np.int32))], ["digest", "term", "start", "end"])
+
+
 def _digest() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")
 
@@ -159,7 +181,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int, generalise
 
 
 def find(docs: DataFrame, window: int = 8, support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """(digest, kinds, starts, ends, terms) of each distinct text with identifiers.
+    """(digest, kinds, starts, ends, terms) of each distinct text with identifiers or disclosing terms.
 
     ``terms`` is a sorted array of (start, end, removed). Spans depend on the text alone, so its digest is the key.
     """
@@ -167,14 +189,18 @@ def find(docs: DataFrame, window: int = 8, support: int = 3, generalise_at: floa
     found = staged(scanned.groupBy("digest").agg(
         F.first(F.struct("kinds", "starts", "ends", "entities", "context")).alias("f"), F.count(F.lit(1)).alias("copies"),
     ).select("digest", "copies", "f.*"), "pii-texts")
-    bad = disclosing_terms(found, docs, support, generalise_at)
-    near = found.select("digest", F.explode("context").alias("c")).select("digest", "c.*")
-    hits = near.join(bad, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("disclosure").alias("d"))
+    bad = disclosing_terms(found, docs, support, generalise_at).groupBy("term").agg(F.max("disclosure").alias("d"))
+    bad = staged(bad, "pii-terms")
+    wanted = Bloom.of(bad, "term", _FILTER_BITS)
+    places = docs.select(_digest(), "text").mapInArrow(
+        lambda it: _occurrences(it, wanted), "digest binary, term long, start int, end int")
+    hits = places.join(bad, "term").groupBy("digest", "start", "end").agg(F.max("d").alias("d"))
     terms = hits.groupBy("digest").agg(F.array_sort(F.collect_list(
         F.struct("start", "end", (F.col("d") >= remove_at).alias("removed")))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return found.select("digest", "kinds", "starts", "ends").join(terms, "digest", "left").withColumn(
-        "terms", F.coalesce("terms", none))
+    empty = F.array().cast("array<int>")
+    return found.select("digest", "kinds", "starts", "ends").join(terms, "digest", "full").select(
+        "digest", *[F.coalesce(c, empty).alias(c) for c in ("kinds", "starts", "ends")], F.coalesce("terms", none).alias("terms"))
 
 
 def report(docs: DataFrame, **parameters) -> DataFrame:

@@ -292,3 +292,15 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     text = {r.doc_id: r.text for r in kept.collect()}
     assert "jo@corp" not in text[25] and all(text[i] == texts[i] for i in range(20))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[3]
+
+
+def test_disclosing_terms_are_rewritten_in_whole_texts_and_in_all_texts(spark):
+    near = "mail ann@example.com about Zanzibar " + prose(1, 3)
+    texts = [f"{near} {prose(10 + i, 20)} and Zanzibar again {i}" for i in range(12)] + [prose(50, 12) + " é Zanzibar " + prose(51, 5)]
+    texts += [prose(100 + i, 30) for i in range(200)]
+    docs = table(spark, texts)
+    kept = {r.doc_id: r.text for r in sanitise.sanitise(docs, generalise_at=0.5).collect()}
+    assert all("Zanzibar" not in t for t in kept.values())
+    assert " é " in kept[12] and len(kept) == len(texts)
+    spans = {r.doc_id: r for r in sanitise.report(docs, generalise_at=0.5).collect()}
+    assert spans[12].n_terms >= 1 and spans[12].n_email == 0 and spans[0].n_email == 1
