@@ -81,7 +81,32 @@ def op10_word_first_language(spark, sf_dir):
     return report(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_bloom_cascade(spark, sf_dir):
+    from payrecon.llm.urlfilter import report
+    return report(_table(spark, sf_dir, "pages"))
+
+
 ORACLE_SQL = {
+    "op11_bloom_cascade": """
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (
+  SELECT row_number() OVER () AS rn, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    coalesce(nullif(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), html) AS content
+  FROM pages),
+f AS (SELECT content, min(page_id) AS first_id FROM u GROUP BY content),
+c AS (
+  SELECT host, path FROM u LEFT JOIN f USING (content)
+  GROUP BY host, path HAVING bool_and(coalesce(page_id > first_id, false))),
+m AS (
+  SELECT rn, r.host || r.path AS rule, verdict,
+    row_number() OVER (PARTITION BY rn ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, verdict DESC) AS k
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, u.host, u.path, rule, coalesce(verdict, CASE WHEN c.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM u LEFT JOIN m ON m.rn = u.rn AND m.k = 1 LEFT JOIN c ON c.host = u.host AND c.path = u.path""",
     "op3_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
