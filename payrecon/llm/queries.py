@@ -93,6 +93,12 @@ def op12_fim_piece_table(spark, sf_dir):
     return report(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_hat_trie_collocations(spark, sf_dir):
+    from payrecon.llm.collocations import collocations
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = {
     "op11_bloom_cascade": """
 WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -147,4 +153,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
               ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
 FROM t""",
+    "op13_hat_trie_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+u AS (SELECT lang, unnest(w) AS w1 FROM w),
+one AS (SELECT lang, w1, count(*) AS n FROM u GROUP BY ALL),
+b AS (SELECT lang, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM w WHERE len(w) > 1),
+two AS (SELECT lang, w1, w2, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, unnest(w[:-3]) AS w1, unnest(w[2:-2]) AS w2, unnest(w[3:]) AS w3 FROM w WHERE len(w) > 2),
+three AS (SELECT lang, w1, w2, w3, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(n) AS n FROM one GROUP BY lang),
+longer AS (
+  SELECT lang, w1, w2, max(n) AS n FROM (SELECT lang, w1, w2, n FROM three UNION ALL SELECT lang, w2, w3, n FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT two.lang, two.w1 || ' ' || two.w2 AS phrase, two.n AS a, 1 AS k, x.n AS l, y.n AS r
+  FROM two JOIN one x ON x.lang = two.lang AND x.w1 = two.w1 JOIN one y ON y.lang = two.lang AND y.w1 = two.w2
+  LEFT JOIN longer g ON g.lang = two.lang AND g.w1 = two.w1 AND g.w2 = two.w2
+  WHERE g.n IS NULL OR 100 * g.n < 50 * two.n
+  UNION ALL
+  SELECT s.lang, s.w1 || ' ' || s.w2 || ' ' || s.w3, s.n, 1, x.n, y.n
+  FROM three s JOIN one x ON x.lang = s.lang AND x.w1 = s.w1 JOIN two y ON y.lang = s.lang AND y.w1 = s.w2 AND y.w2 = s.w3
+  UNION ALL
+  SELECT s.lang, s.w1 || ' ' || s.w2 || ' ' || s.w3, s.n, 2, x.n, y.n
+  FROM three s JOIN two x ON x.lang = s.lang AND x.w1 = s.w1 AND x.w2 = s.w2 JOIN one y ON y.lang = s.lang AND y.w1 = s.w3),
+scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1)
+SELECT ranked.lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, score
+FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000""",
 }

@@ -1,0 +1,137 @@
+"""Collocations: counts and ranks against a plain version, the trie against a dictionary."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from payrecon.llm import collocations as co
+from tests.llm.edges import awkward, nothing, table
+
+
+def words_of(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [re.findall("[^ \t]+", piece) for piece in re.split("[.,;:!?\n-\r]", low)]
+
+
+def plainly(docs, top=2000, least=10):
+    counts, totals = {}, Counter()
+    for lang, text in docs:
+        own = counts.setdefault(lang or "und", Counter())
+        for ws in words_of(text):
+            totals[lang or "und"] += len(ws)
+            own.update(tuple(ws[i:i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        frequent = {p: n for p, n in f.items() if n >= least and len(p) > 1}
+        rows = []
+        for p, a in frequent.items():
+            if any(len(q) == 3 and p in (q[:2], q[1:]) and 100 * n >= 50 * a for q, n in frequent.items() if len(p) == 2):
+                continue
+            score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, totals[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+def check(df, **kw):
+    top = kw.get("top", 2000)
+    want = plainly([(r.lang, r.text) for r in df.select("lang", "text").collect()], top)
+    got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in co.collocations(df, **kw).collect())
+    assert got == want
+    return got
+
+
+def docs(spark, n=60):
+    rng = random.Random(5)
+    few = "the of and to in é ß new york city.  . san,francisco a\tb x".split(" ")
+    texts = [" ".join(rng.choice(few + ["Big", "DATA set", "New York City"]) for _ in range(rng.randrange(120))) for _ in range(n)]
+    return table(spark, texts[:n // 2]).union(table(spark, texts[n // 2:], 100, lang="fr")).union(table(spark, texts[:9], 200, lang=None))
+
+
+@pytest.mark.parametrize("limits", [{}, {"burst": 4, "max_entries": 40}, {"burst": 2, "max_entries": 10, "max_words": 5}])
+def test_equals_the_plain_version(spark, limits):
+    assert len(check(docs(spark), **limits)) > 20
+
+
+class All:
+    """A filter that takes everything."""
+
+    def has(self, hashes):
+        return np.ones(len(hashes), dtype=bool)
+
+
+@pytest.mark.parametrize("size", [1, 7, 30, 1 << 20])
+def test_counts_over_slices_and_spills(size, monkeypatch):
+    monkeypatch.setattr(co, "SLICE", size)
+    rng = random.Random(size)
+    texts = [" ".join(rng.choice(["a", "b", "Cc", "d.", ",e", "ß", " "]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    langs = [rng.choice(["en", "fr", "und"]) for _ in texts]
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        for ws in words_of(text):
+            want.update((lang, *ws[i:i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    batches = [pa.RecordBatch.from_pydict({"lang": langs[i:i + 15], "text": texts[i:i + 15]}) for i in range(0, 40, 15)]
+    for limits in ({}, {"max_entries": 20, "burst": 3}, {"max_words": 2, "burst": 2}):
+        got = Counter()
+        for run in co._phrases(iter(batches), All(), co.Counter(**limits)):
+            for row in run.to_pylist():
+                got[tuple(w for w in (row["lang"], row["w1"], row["w2"], row["w3"]) if w is not None)] += row["n"]
+        assert got == want
+    for held in (3_000_000, 10):
+        monkeypatch.setattr(co, "HELD", held)
+        bounds, totals = Counter(), Counter()
+        for rows in co._bounds(iter(batches)):
+            for row in rows.to_pylist():
+                (totals if row["lang"] else bounds)[row["lang"] or row["h"]] += row["n"]
+        assert sorted(bounds.values()) == sorted(n for p, n in want.items() if len(p) < 4)
+        assert totals == {x: sum(n for p, n in want.items() if len(p) == 2 and p[0] == x) for x in set(langs)}
+
+
+def test_top_only_and_ties(spark):
+    df = table(spark, ["b a. a b. c d"] * 12 + ["zz é é é é. é"] * 12)
+    assert len(check(df, top=3)) == 3
+    check(df)
+
+
+def test_awkward_and_empty_tables(spark):
+    check(awkward(spark))
+    assert check(nothing(spark)) == []
+    check(table(spark, ["word " * 3000, None, "", "...", "\t"]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aB .\t\né", max_size=30), min_size=1, max_size=6), st.integers(1, 12))
+def test_slices_are_the_words(texts, size):
+    from payrecon.llm.common import utf8
+    data, offsets = utf8(pa.array(texts))
+    got = {i: [] for i in range(len(texts))}
+    for s in co.slices(data, offsets, size):
+        for text, word, follows in zip(s.text_of.tolist(), s.strings().to_pylist(), s.follows.tolist()):
+            if follows:
+                got[text][-1].append(word)
+            else:
+                got[text].append([word])
+    assert got == {i: [p for p in words_of(t) if p] for i, t in enumerate(texts)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(*[st.integers(0, 5)] * 3), min_size=1, max_size=40), max_size=8), st.integers(1, 6), st.integers(1, 60))
+def test_trie_counts_and_spills_whole_subtrees(batches, burst, keep):
+    trie, want, got = co.HatTrie(3, burst), Counter(), Counter()
+    pack = lambda t: (t[0] << co.ID_BITS | t[1]) << co.ID_BITS | t[2]
+    for batch in batches:
+        want.update(map(pack, batch))
+        keys, counts = np.unique(np.array([pack(t) for t in batch]), return_counts=True)
+        trie.add(keys, counts)
+        for keys, counts in trie.spill(keep) if trie.size > keep else []:
+            got.update(dict(zip(keys.tolist(), counts.tolist())))
+        assert trie.size <= max(keep, 0) or isinstance(trie.root, co.Leaf)
+    for keys, counts in trie.spill():
+        assert len(set(keys.tolist())) == len(keys)
+        got.update(dict(zip(keys.tolist(), counts.tolist())))
+    assert got == want and trie.size == 0
