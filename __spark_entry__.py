@@ -19,11 +19,11 @@ from payrecon.functions import cleaners as c  # noqa: E402
 from payrecon.operators import duplicates, gateways as g, lifecycle as lc, quality, reconcile as rc  # noqa: E402
 from payrecon.operators.cleaning import clean_source  # noqa: E402
 from payrecon.operators.duplicates import flag_duplicates  # noqa: E402
-from payrecon.plans import ingest as ing, payment_view as pv  # noqa: E402
+from payrecon.plans import ingest as ing, payment_view as pv, view as vw  # noqa: E402
 from payrecon.plans.options import QueryOptions  # noqa: E402
 from payrecon.plans.query import payment_query, row_count, run_sql  # noqa: E402
 from standin import dirty, payment_tables  # noqa: E402
-from payrecon.session import tune, work_dir  # noqa: E402
+from payrecon.session import remove_dir, tune, work_dir  # noqa: E402
 from payrecon.sinks.writers import write_result  # noqa: E402
 from payrecon.sources import audit, infer, scan  # noqa: E402
 from payrecon.sources.spec import DUPLICATE_KEYS, ColumnSpec, SourceSpec, default_spec  # noqa: E402
@@ -121,7 +121,7 @@ def bank_match_pairs(spark, sf_dir):
 
 @query
 def bank_match_tiers(spark, sf_dir):
-    return rc.match_summary(pv.payment_view(payment_tables(spark, sf_dir)))
+    return pv.match_summary(payment_tables(spark, sf_dir))
 
 
 @query
@@ -131,7 +131,7 @@ def bank_match_unmatched(spark, sf_dir):
 
 
 def _tiers(spark, sf_dir, **kw):
-    return rc.match_summary(pv.payment_view(payment_tables(spark, sf_dir), QueryOptions(flavour="script", **kw)))
+    return pv.match_summary(payment_tables(spark, sf_dir), QueryOptions(flavour="script", **kw))
 
 
 @query
@@ -251,8 +251,21 @@ def sql_with_parameters(spark, sf_dir):
 
 @query
 def view_count(spark, sf_dir):
-    pv.register_view(spark, payment_tables(spark, sf_dir))
-    return row_count(spark.table("payment_view"))
+    vw.register_view(spark, payment_tables(spark, sf_dir))
+    return row_count(vw.read_view(spark))
+
+
+@query
+def view_after_changes(spark, sf_dir):
+    """The view is registered, then a gateway and the bank lose rows; what is read afterwards follows both."""
+    tables, out = payment_tables(spark, sf_dir), work_dir(spark, "tables")
+    for name, table in tables.items():
+        table.write.parquet(f"{out}/{name}")
+    vw.register_view(spark, {name: f"{out}/{name}" for name in tables}, "changing_view")
+    tables["checkout_v1"].where("order_id % 8 = 0").write.mode("overwrite").parquet(f"{out}/checkout_v1")
+    tables["bank"].where("rrn NOT LIKE '%7'").write.mode("overwrite").parquet(f"{out}/bank")
+    return run_sql(spark, """SELECT gateway_source, bank_match_type, count(*) AS n_rows, CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount
+                             FROM changing_view GROUP BY gateway_source, bank_match_type""")
 
 
 @query
@@ -374,10 +387,10 @@ def amount_profile(spark, sf_dir):
 
 # -- files ---------------------------------------------------------------------------------------------------
 
-def _portal_export(spark: SparkSession, sf_dir: str) -> str:
-    """The portal stand-in as a CSV export with raw headers, below the shared working folder."""
+def _portal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portal stand-in with raw headers."""
     p = payment_tables(spark, sf_dir)["portal"]
-    raw = p.select(
+    return p.select(
         F.col("order_id").alias("Order Id"),
         F.concat(F.lit("SAR "), F.format_number("transaction_amount", 2)).alias("Order Total"),
         F.date_format("transaction_date", "dd/MM/yyyy").alias("Delivery Date"),
@@ -386,7 +399,11 @@ def _portal_export(spark: SparkSession, sf_dir: str) -> str:
         F.concat(F.lit('say "'), F.col("discount_type"), F.lit('", ok')).alias("Note"),
         F.lit("x").alias("Unknown Column"),
     )
-    return write_result(raw, work_dir(spark, "export"), "csv")
+
+
+def _portal_export(spark: SparkSession, sf_dir: str) -> str:
+    """The portal stand-in as a CSV export, below the shared working folder."""
+    return write_result(_portal_raw(spark, sf_dir), work_dir(spark, "export"), "csv")
 
 
 def _portal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,10 +423,26 @@ def scan_csv_roundtrip(spark, sf_dir):
 def ingest_parquet(spark, sf_dir):
     out = work_dir(spark, "clean")
     ing.ingest(spark, default_spec("portal"), out, [_portal_export(spark, sf_dir)], FIXED_TIME)
-    return spark.read.parquet(out).select(
+    return ing.clean_table(spark, out, default_spec("portal")).select(
         "order_id", "transaction_amount", "transaction_date", "payment_method", "data_source")
 
 
+@query
+def reingest_after_changes(spark, sf_dir):
+    """Exports of four kinds are ingested; then one holds its header only, one has grown, one is gone and one is not asked for."""
+    raw, spec, home, out = _portal_raw(spark, sf_dir), default_spec("portal"), work_dir(spark, "exports"), work_dir(spark, "clean")
+    kind = F.col("`Order Id`") % 4
+    for k in range(4):
+        write_result(raw.where(kind == k) if k != 1 else raw.where(F.col("`Order Id`") % 8 == 1), f"{home}/{k}", "csv")
+    ing.ingest(spark, spec, out, [f"{home}/{k}" for k in range(4)], FIXED_TIME)
+    write_result(raw.where("1 = 0"), f"{home}/0", "csv")
+    write_result(raw.where(kind == 1), f"{home}/1", "csv")
+    remove_dir(spark, f"{home}/2")
+    report = ing.ingest(spark, spec, out, [f"{home}/{k}" for k in range(3)], FIXED_TIME)
+    rows = ing.clean_table(spark, out, spec).select("order_id", "transaction_amount", "transaction_date", "payment_method")
+    return rows.withColumn("n_read_again", F.lit(report.rows).cast("long"))
+
+
 def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of bank exports in five styles; which one follows from the order, and so does what is odd about a line."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -448,6 +481,23 @@ def scan_mixed_files(spark, sf_dir):
     return found.select(F.col("RRN").alias("rrn"), F.col("`Bank Name`").alias("bank_name"))
 
 
+@query
+def scan_both_escapes(spark, sf_dir):
+    """Exports that escape quotes by quotes and by backslashes, and one with backslashes that escape nothing; no setting tells which."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("k"), F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("RRN"),
+        F.concat(F.lit('the "'), F.col("o_orderpriority"), F.lit('", paid')).alias("Bank Name"))
+    home, paths = work_dir(spark, "escapes"), []
+    for k, escape in ((0, '"'), (1, "\\"), (2, '"')):
+        own = orders.where(F.col("k") % 3 == k).drop("k")
+        if k == 2:
+            own = own.withColumn("Bank Name", F.concat(F.lit("c, "), F.col("RRN"), F.lit("\\")))
+        own.write.options(header=True, escape=escape, escapeQuotes=True, charToEscapeQuoteEscaping="\0").csv(f"{home}/{k}")
+        paths.append(f"{home}/{k}")
+    found = scan.scan_source(spark, default_spec("bank"), paths)
+    return found.select(F.col("RRN").alias("rrn"), F.col("`Bank Name`").alias("bank_name"))
+
+
 @query
 def csv_line_audit(spark, sf_dir):
     report = scan.line_report(spark, default_spec("bank"), _mixed_files(spark, sf_dir))
@@ -526,6 +576,23 @@ def infer_types(spark, sf_dir):
     return infer.infer_types(raw, "portal", sample=None)
 
 
+@query
+def build_specs(spark, sf_dir):
+    """Specs of two sources from files whose columns differ in type, each file judged by a sample of its own."""
+    orders, home = spark.read.parquet(f"{sf_dir}/orders.parquet"), work_dir(spark, "configured")
+    day, number = F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("o_orderkey").cast("string")
+    files = {
+        "metabase": [orders.select(number.alias("Order ID"), day.alias("Seen"), F.concat(F.lit("x"), number).alias("Code")),
+                     orders.select(number.alias("Order ID"), number.alias("Seen"), day.alias("Code"), day.alias("Settled"))],
+        "bank": [orders.select(F.concat(F.lit("4111****"), number).alias("Card Number"), day.alias("Cleared"), F.col("o_totalprice").alias("Fee Amount")),
+                 orders.select(F.when(F.col("o_orderkey") > 0, F.concat(day, F.lit("*"))).alias("Masked"))],
+    }
+    config = {source: {"files": [write_result(df, f"{home}/{source}-{i}", "csv") for i, df in enumerate(own)]} for source, own in files.items()}
+    specs = infer.build_specs(spark, {"sources": config})
+    return spark.createDataFrame([(name, c.map_to, c.py_type, c.sql_type) for name, spec in specs.items() for c in spec.columns],
+                                 "source string, map_to string, py_type string, sql_type string")
+
+
 @query
 def load_verified(spark, sf_dir):
     spec = default_spec("bank")
@@ -543,11 +610,53 @@ def load_conversions(spark, sf_dir):
         "order_id", "transaction_amount", "transaction_date", "is_potential_duplicate")
 
 
+def _keyed_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as CSV files in a folder for each remainder of the order key that occurs."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    home = work_dir(spark, "keyed")
+    orders.select((F.col("o_orderkey") % 32).alias("k"), "o_orderkey", "o_totalprice").write.partitionBy("k").option("header", True).csv(home)
+    return home
+
+
 @query
 def file_audit(spark, sf_dir):
-    names = ["lineitem", "orders", "customer"]
-    paths = [f"{sf_dir}/{n}.parquet" for n in names] + [f"{sf_dir}/no_such_table.parquet"]
-    return audit.file_audit(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), "status")
+    """Which remainders have a folder, and how many of the files found in it are there and not empty."""
+    home = _keyed_exports(spark, sf_dir)
+    folders = audit.file_audit(spark, [f"{home}/k={k}" for k in range(32)])
+    found = [r["path"] for r in audit.discover(spark, home).select("path").collect()]
+    files = audit.file_audit(spark, found).withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    good = files.groupBy("folder").agg(F.min(F.col("status") == "ok").alias("all_ok"))
+    named = folders.select(F.element_at(F.split("path", "/"), -1).alias("folder"), "status")
+    return named.join(good, "folder", "left")
+
+
+@query
+def discovered_files(spark, sf_dir):
+    home = _keyed_exports(spark, sf_dir)
+    return audit.discover(spark, home).select(F.element_at(F.split("path", "/"), -2).alias("folder"), (F.col("length") > 0).alias("filled")).distinct()
+
+
+@query
+def result_preview(spark, sf_dir):
+    """First rows of a written result; all of it if it is shorter than asked for."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    path = write_result(orders, work_dir(spark, "preview"), "parquet")
+    few, all_rows = audit.preview(spark, path, 100), audit.preview(spark, path, 1 << 30)
+    counts = few.agg(F.count(F.lit(1)).alias("n_few"))
+    return all_rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows")).join(counts)
+
+
+@query
+def table_audit(spark, sf_dir):
+    """Tables that exist, and which of them hold rows: the sources of large orders, one of them never made."""
+    names = []
+    for source, table in payment_tables(spark, sf_dir).items():
+        names.append(f"audited_{source}")
+        if source != "tamara":
+            amount = next(c for c in ("transaction_amount", "txn_amount") if c in table.columns)
+            table.where(F.col(amount) > (1e9 if source == "payfort" else 1000)).createOrReplaceTempView(names[-1])
+    rows = audit.table_audit(spark, names)
+    return spark.createDataFrame(rows, "table_name string, is_there boolean, holds_rows boolean")
 
 
 # -- training-data operators; absent where their subpackage is not installed ------------------------------------

@@ -279,6 +279,9 @@ def all_queries() -> dict[str, str]:
                                 "gateway_transaction_id, status, amount, final_rrn, final_authorization_code) = 1",
         "sql_with_parameters": "SELECT o_orderstatus AS status, count(*) AS n_rows FROM orders WHERE CAST(o_orderdate AS DATE) "
                                f"BETWEEN DATE '{DATES[0]}' AND DATE '{DATES[1]}' GROUP BY ALL",
+        "view_after_changes": full.replace("pay_lines WHERE order_id % 4 = 0", "pay_lines WHERE order_id % 8 = 0").replace(
+            "pay_lines WHERE l_linestatus = 'F'",
+            "pay_lines WHERE l_linestatus = 'F' AND (l_suppkey % 3 = 2 OR rrn NOT LIKE '%7')") + TIER_SUMMARY,
         "view_count": full + "\nSELECT count(*) AS n_rows FROM v",
         "stage_funnel": full + """
 SELECT '1 gateway rows' AS stage, count(*) AS n_rows FROM pay_lines UNION ALL
@@ -350,6 +353,9 @@ SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, trans
         "ingest_parquet": oracle_with() + """
 SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, transaction_date, payment_method,
   'portal' AS data_source FROM portal""",
+        "reingest_after_changes": oracle_with() + """
+SELECT order_id, CAST(transaction_amount AS DOUBLE) AS transaction_amount, transaction_date, payment_method,
+  (SELECT count(*) FROM portal WHERE order_id % 4 = 1) AS n_read_again FROM portal WHERE order_id % 4 IN (1, 3)""",
         "load_verified": oracle_with() + """
 SELECT 'bank' AS source, count(*) AS n_rows, TRUE AS verified FROM bank""",
         "load_conversions": DIRTY + f"""SELECT {INTEGER} AS order_id, CAST({AMOUNT} AS DECIMAL(18,2)) AS transaction_amount,
@@ -359,6 +365,19 @@ SELECT 'R' || o_orderkey AS rrn,
   CASE WHEN o_orderkey % 5 = 3 THEN 'Café ' || o_custkey || chr(10) || 'line two, R' || o_orderkey
     WHEN o_orderkey % 5 = 4 AND o_orderkey % 3 = 1 THEN '' ELSE 'Café ' || o_custkey END AS bank_name
 FROM orders WHERE NOT (o_orderkey % 5 = 4 AND o_orderkey % 3 = 0)""",
+        "scan_both_escapes": """
+SELECT 'R' || o_orderkey AS rrn, CASE o_orderkey % 3 WHEN 2 THEN 'c, R' || o_orderkey || chr(92)
+  ELSE 'the "' || o_orderpriority || '", paid' END AS bank_name FROM orders""",
+        "build_specs": """
+WITH raw AS (SELECT strftime(o_orderdate, '%d/%m/%Y') AS d, CAST(o_orderkey AS VARCHAR) AS n FROM orders),
+sampled AS (
+  SELECT 'metabase' AS source, 'seen' AS map_to, 1 AS file, d AS v FROM raw UNION ALL SELECT 'metabase', 'code', 1, 'x' || n FROM raw UNION ALL
+  SELECT 'metabase', 'settled', 2, d FROM raw UNION ALL SELECT 'bank', 'cleared', 1, d FROM raw UNION ALL
+  SELECT 'bank', 'masked', 2, d || '*' FROM raw),
+typed AS (SELECT source, map_to, if(2 * count(try_strptime(v, '%d/%m/%Y')) >= count(v), 'date', 'string') AS py_type FROM sampled GROUP BY ALL)
+SELECT *, if(py_type = 'date', 'DATE', 'VARCHAR(255)') AS sql_type FROM typed UNION ALL
+SELECT * FROM (VALUES ('metabase', 'portal_order_id', 'integer', 'INTEGER'), ('bank', 'masked_card', 'string', 'VARCHAR(255)'),
+  ('bank', 'fee_amount', 'float', 'NUMERIC(18,2)')) t(source, map_to, py_type, sql_type)""",
         "encoding_audit": """
 SELECT CAST(o_orderkey % 5 AS VARCHAR) AS style,
   CASE o_orderkey % 5 WHEN 1 THEN 'latin1' WHEN 2 THEN 'utf-16' ELSE 'utf-8' END AS encoding,
@@ -369,8 +388,16 @@ FROM orders GROUP BY o_orderkey % 5""",
             f"SELECT '{name}' AS source, count(*) AS n FROM {name} GROUP BY {', '.join(keys)}" for name, keys in EXPORT_KEYS.items())
             + ")\nSELECT source, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_flagged FROM counted GROUP BY source",
         "file_audit": """
-SELECT * FROM (VALUES ('lineitem.parquet', 'ok'), ('orders.parquet', 'ok'), ('customer.parquet', 'ok'),
-  ('no_such_table.parquet', 'missing')) t(file, status)""",
+WITH k AS (SELECT unnest(range(32)) AS k), o AS (SELECT DISTINCT o_orderkey % 32 AS k FROM orders)
+SELECT 'k=' || k.k AS folder, if(o.k IS NULL, 'missing', 'not a file') AS status, if(o.k IS NULL, NULL, TRUE) AS all_ok
+FROM k LEFT JOIN o ON o.k = k.k""",
+        "discovered_files": "SELECT DISTINCT 'k=' || (o_orderkey % 32) AS folder, TRUE AS filled FROM orders",
+        "result_preview": """
+SELECT o_orderstatus, count(*) AS n_rows, (SELECT least(100, count(*)) FROM orders) AS n_few FROM orders GROUP BY o_orderstatus""",
+        "table_audit": oracle_with() + "\n" + "\nUNION ALL ".join(
+            f"SELECT 'audited_{name}' AS table_name, {'FALSE' if name == 'tamara' else 'TRUE'} AS is_there, "
+            + ("FALSE" if name == "tamara" else f"(SELECT count(*) > 0 FROM {name} WHERE transaction_amount > {10**9 if name == 'payfort' else 1000})")
+            + " AS holds_rows" for name in ("portal", "metabase", "checkout_v1", "checkout_v2", "payfort", "tamara", "bank")),
         "result_csv": view("generated", bank=None) + "\nSELECT " + ", ".join(
             f"coalesce(CAST({c.strip()} AS VARCHAR), '') AS {c.strip()}" for c in LABEL_COLUMNS.split(",")) + " FROM ta",
         "result_parquet": view("generated", bank=None) + f"\nSELECT {ESSENTIAL} FROM ta",

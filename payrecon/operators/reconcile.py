@@ -149,34 +149,159 @@ def match_pairs(signatures: DataFrame, bank: DataFrame, tiers: Sequence[Tier] =
     return pairs.drop(*[f"{p}{c}" for p in ("_", "_bank_") for c in ("by", "key", "bucket")])
 
 
-def reconcile(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[f"_m_{c}"]) for c in columns])
+
+
+def reconcile(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True,
+              signatures: DataFrame | None = None) -> DataFrame:
     """Left outer match of transactions to bank lines: all pairs, unmatched transactions with NULLs.
 
-    Which lines match depends on a few narrow columns only, on both sides. Their distinct combinations (copies
-    collapse in the map-side combine) are matched first; then the wide transactions and the wide lines pick up the
-    pairs by two inner joins, which are split at run time on either side, so neither a popular transaction nor a popular
-    bank line ends in one task. Transactions in no pair come from an anti join. The transactions are read by each of
-    these steps, so they are staged once, and so are the pairs.
+    Which lines match depends on a transaction's signature only, so the signature is the key by which the wide columns are
+    taken, once and last. Three narrow steps come before: the distinct signatures of both sides are paired; the pairs
+    pick up the bank's lines; signatures in no pair get one answer of NULLs. Now every signature has an answer, and one inner
+    join attaches the answers to the transactions. An inner join is split at run time on either side, so neither a
+    popular transaction nor a popular bank line ends in one task. Only signatures and pairs of signatures are staged, so columns
+    that the caller does not select are never read.
+
+    ``tx`` is evaluated twice, narrow for the signatures and wide for the rows, and has to give the same rows both times, as
+    files do. ``signatures`` may name a frame that is cheaper to evaluate and holds the signatures of ``tx``, or more.
     """
     nothing = {n: F.lit(None).cast(kind) for n, (_, kind) in BANK_COLUMNS.items()} | {MATCH_TYPE: F.lit(None).cast("string")}
     if not tiers:
         return tx.withColumns(nothing)
     own, theirs = signature_columns(tiers)
-    tx, lines = staged(tx, "transactions"), bank_lines(bank)
-    pairs = match_pairs(tx.select(*own).distinct(), lines.select(*theirs).distinct(), tiers, blank_keys_match)
+    lines = bank_lines(bank)
+    known = staged((tx if signatures is None else signatures).select(*own).distinct(), "signatures")
+    pairs = match_pairs(known, lines.select(*theirs).distinct(), tiers, blank_keys_match)
     pairs = staged(pairs.select(*[F.col(c).alias(f"_m_{c}") for c in own + theirs], MATCH_TYPE), "pairs")
-
-    def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-        return reduce(Column.__and__, [left[c].eqNullSafe(right[f"_m_{c}"]) for c in columns])
-
-    matched = tx.join(pairs, same(tx, pairs, own)).drop(*[f"_m_{c}" for c in own])
-    matched = matched.join(lines, same(lines, matched, theirs)).drop(*[f"_m_{c}" for c in theirs])
-    taken = pairs.select(*[f"_m_{c}" for c in own]).distinct()
-    alone = tx.join(taken, same(tx, taken, own), "left_anti").withColumns(nothing)
-    return matched.select(*alone.columns).union(alone)
+    keys, columns = [f"_m_{c}" for c in own], [*BANK_COLUMNS, MATCH_TYPE]
+    found = lines.join(pairs, _same(lines, pairs, theirs)).select(*keys, *columns)
+    taken = pairs.select(*keys).distinct()
+    alone = known.join(taken, _same(known, taken, own), "left_anti").select(
+        *[F.col(c).alias(f"_m_{c}") for c in own], *[c.alias(n) for n, c in nothing.items()])
+    answers = found.union(alone)
+    return tx.join(answers, _same(tx, answers, own)).drop(*keys)
 
 
 def match_summary(df: DataFrame) -> DataFrame:
     """Rows and amount by gateway and tier (NULL: unmatched)."""
     return df.groupBy("gateway_source", MATCH_TYPE).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
+
+
+# -- summaries without pairs -----------------------------------------------------------------------------------
+
+@dataclass(frozen=True, order=True)
+class Kind:
+    """Keys on which two sides are counted: RRN, authorisation code or both, on the same day or on any."""
+
+    rrn: bool
+    auth: bool
+    day: bool
+
+
+def tier_terms(tiers: Sequence[Tier]) -> dict[str, dict[tuple[Kind, Decimal], int]]:
+    """Every tier's number of pairs as a sum of plain pair counts with signs.
+
+    A plain count P(kind, tolerance) is the number of pairs equal in the keys of a kind within a tolerance. Pairs fall into
+    cells by the keys they are equal in (RRN only, code only, both), by same day or not, and by the gap between two
+    successive tolerances. A cell's size follows from plain counts by inclusion and exclusion, and all pairs of a cell
+    reach the same tier first.
+    """
+    active = reachable(tiers)
+    steps = sorted({t.tolerance for t in active})
+    days = (True, False) if any(t.same_day for t in active) else (None,)
+    terms: dict[str, dict[tuple[Kind, Decimal], int]] = {}
+    for rrn, auth in ((True, False), (False, True), (True, True)):
+        for day in days:
+            for i, step in enumerate(steps):
+                label = next((t.label for t in active if t.rrn <= rrn and t.auth <= auth and (not t.same_day or day)
+                              and t.tolerance >= step), None)
+                if label is None:
+                    continue
+                parts = [(rrn, auth, 1)] if rrn and auth else [(rrn, auth, 1), (True, True, -1)]
+                on_day = {None: [(False, 1)], True: [(True, 1)], False: [(False, 1), (True, -1)]}[day]
+                within = [(step, 1)] if i == 0 else [(step, 1), (steps[i - 1], -1)]
+                own = terms.setdefault(label, {})
+                for r, a, x in parts:
+                    for d, y in on_day:
+                        for t, z in within:
+                            own[Kind(r, a, d), t] = own.get((Kind(r, a, d), t), 0) + x * y * z
+    return {label: {k: c for k, c in own.items() if c} for label, own in terms.items()}
+
+
+def tier_counts(tx: DataFrame, bank: DataFrame, tiers: Sequence[Tier] = TIERS, blank_keys_match: bool = True,
+                by: Sequence[str] = ("gateway_source",)) -> DataFrame:
+    """Rows and amount by the columns ``by`` and tier, as of the reconciled rows, but no pair is ever made.
+
+    Both sides are grouped by the keys of a kind and the amount, with their numbers of rows; groups meet on keys and near amounts, and
+    numbers are multiplied. A group meets at most the amounts within the tolerance, whatever its keys are, so blank or popular
+    keys cost no product of their rows. What the tiers take from each other is settled afterwards on the few sums
+    (:func:`tier_terms`). Transactions that meet nothing are the signatures left by anti joins with the groups that
+    met something.
+    """
+    empty = F.lit(None).cast("string").alias(MATCH_TYPE)
+    total = F.sum(F.col("_m") * F.col("amount")).cast("decimal(38,2)").alias("total_amount")
+    columns = [*by, MATCH_TYPE, "n_rows", "total_amount"]
+    own, theirs = signature_columns(tiers) if tiers else (["amount"], [])
+    signatures = tx.groupBy(*by, *own).agg(F.count(F.lit(1)).alias("_m"))
+    if not tiers:
+        return signatures.groupBy(*by).agg(F.sum("_m").alias("n_rows"), total).select(*by, empty, "n_rows", "total_amount")
+    signatures = staged(signatures, "signatures")
+    terms = tier_terms(tiers)
+    kinds = sorted({k for own_terms in terms.values() for k, _ in own_terms})
+    steps = sorted({t for own_terms in terms.values() for _, t in own_terms})
+    reach = [int(t * 100) for t in steps]
+    width = max(1, 2 * reach[-1])
+    any_day = F.lit("1970-01-01").cast("date")
+
+    def sides(df: DataFrame, rrn: Column, auth: Column, amount: str, day: str, count: Column, extra: Sequence[str]) -> DataFrame:
+        entries = [F.struct(F.lit(i).alias("_kind"), (rrn if k.rrn else F.lit("")).alias("_rrn"), (auth if k.auth else F.lit("")).alias("_auth"),
+                            (F.col(day) if k.day else any_day).alias("_day")) for i, k in enumerate(kinds)]
+        rows = df.select(*extra, _cents(F.col(amount)).alias("_cents"), count.alias("_n"), F.inline(F.array(*entries))).dropna(
+            subset=["_rrn", "_auth", "_day", "_cents"])
+        return rows.groupBy(*extra, "_kind", "_rrn", "_auth", "_day", "_cents").agg(F.sum("_n").alias("_n"))
+
+    left = sides(signatures, _key(F.col("final_rrn"), blank_keys_match), _key(F.col("final_authorization_code"), blank_keys_match),
+                 "amount", "transaction_date", F.col("_m"), by)
+    right = sides(bank_lines(bank).select(*theirs), F.col("bank_rrn"), F.col("bank_auth_code"), "bank_amount", "bank_transaction_date",
+                  F.lit(1), ())
+    first = F.col("_cents") - reach[-1]
+    first = first - F.pmod(first, F.lit(width))
+    right = right.select("_kind", "_rrn", "_auth", "_day", F.col("_cents").alias("_bank_cents"), F.col("_n").alias("_k"),
+                         F.explode(F.array(first, first + width)).alias("_bucket"))
+    left = left.withColumn("_bucket", F.col("_cents") - F.pmod("_cents", F.lit(width)))
+    gap = F.abs(F.col("_cents") - F.col("_bank_cents"))
+    group = [*by, "_kind", "_rrn", "_auth", "_day", "_cents"]
+    met = left.join(right, ["_kind", "_rrn", "_auth", "_day", "_bucket"]).where(gap <= reach[-1]).groupBy(*group, "_n").agg(
+        *[F.sum(F.when(gap <= r, F.col("_k"))).alias(f"_k{j}") for j, r in enumerate(reach)])
+    met = staged(met, "met")
+
+    pairs = [F.col("_n").cast("decimal(38,0)") * F.coalesce(F.col(f"_k{j}"), F.lit(0)) for j in range(len(steps))]
+    sums = met.groupBy(*by, "_kind").agg(
+        *[F.sum(p).alias(f"_n{j}") for j, p in enumerate(pairs)], *[F.sum(p * F.col("_cents")).alias(f"_c{j}") for j, p in enumerate(pairs)])
+    flat = sums.select(*by, "_kind", F.inline(F.array(*[
+        F.struct(F.lit(j).alias("_step"), F.col(f"_n{j}").alias("_n"), F.col(f"_c{j}").alias("_c")) for j in range(len(steps))])))
+    signs = F.array(*[
+        F.struct(F.lit(label).alias(MATCH_TYPE), F.lit(kinds.index(k)).alias("_of_kind"), F.lit(steps.index(t)).alias("_of_step"), F.lit(c).alias("_sign"))
+        for label, own_terms in terms.items() for (k, t), c in own_terms.items()])
+    reached = flat.select("*", F.inline(signs)).where("_kind = _of_kind AND _step = _of_step").groupBy(*by, MATCH_TYPE).agg(
+        F.sum(F.col("_sign") * F.col("_n")).cast("bigint").alias("n_rows"),
+        (F.sum(F.col("_sign") * F.col("_c")) * F.lit(Decimal("0.01"))).cast("decimal(38,2)").alias("total_amount")).where("n_rows > 0")
+
+    # What counts as a meeting: the weakest tiers only, as their pairs contain those of the others.
+    weakest = [t for t in reachable(tiers) if not any(o is not t and o.covers(t) for o in reachable(tiers))]
+    alone = signatures.withColumn("_own_cents", _cents(F.col("amount")))
+    for t in weakest:
+        of_kind = met.where((F.col("_kind") == kinds.index(Kind(t.rrn, t.auth, t.same_day))) & (F.col(f"_k{steps.index(t.tolerance)}") > 0))
+        of_kind = of_kind.select("_rrn", "_auth", "_day", "_cents").distinct()
+        on = [alone["_own_cents"] == of_kind["_cents"]]
+        on += [alone["final_rrn"] == of_kind["_rrn"]] if t.rrn else []
+        on += [alone["final_authorization_code"] == of_kind["_auth"]] if t.auth else []
+        on += [alone["transaction_date"] == of_kind["_day"]] if t.same_day else []
+        alone = alone.join(of_kind, reduce(Column.__and__, on), "left_anti")
+    alone = alone.groupBy(*by).agg(F.sum("_m").alias("n_rows"), total)
+    if not by:
+        alone = alone.where("n_rows IS NOT NULL")
+    return reached.select(*columns).union(alone.select(*by, empty, "n_rows", "total_amount"))

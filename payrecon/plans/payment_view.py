@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from payrecon.functions import outcome as o
 from payrecon.operators import gateways as g, lifecycle as lc
 from payrecon.operators.duplicates import FLAG, flag_duplicates
-from payrecon.operators.reconcile import BANK_COLUMNS, MATCH_TYPE, reconcile
+from payrecon.operators.reconcile import BANK_COLUMNS, MATCH_TYPE, reconcile, tier_counts
 from payrecon.plans.options import QueryOptions
 from payrecon.session import staged
 
@@ -78,29 +78,27 @@ def transactions(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -
 
 
 def payment_view(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -> DataFrame:
-    """All columns of the view: 126, or 107 without reconciliation."""
-    tx = transactions(tables, options)[0]
+    """All columns of the view: 126, or 107 without reconciliation. What is not selected from it is not read."""
+    tx, unlinked = transactions(tables, options)
     if options.include_reconciliation:
-        tx = reconcile(tx, tables["bank"], options.tiers(), options.blank_keys_match)
+        # Before linking there are more signatures than after it, but they are had without the link join. With a date range
+        # there would be far more.
+        signatures = unlinked if options.date_range is None else None
+        tx = reconcile(tx, tables["bank"], options.tiers(), options.blank_keys_match, signatures)
     return g.widen(tx).select(*view_columns(options.flavour, options.include_reconciliation))
 
 
-def register_view(spark, tables: dict[str, DataFrame], name: str = "payment_view",
-                  options: QueryOptions = SCRIPT) -> DataFrame:
-    """Create or replace the view under a name usable from SQL."""
-    view = payment_view(tables, options)
-    view.createOrReplaceTempView(name)
-    return view
-
-
-def drop_view(spark, name: str = "payment_view") -> bool:
-    return spark.catalog.dropTempView(name)
+def match_summary(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -> DataFrame:
+    """Rows and amount of the view by gateway and tier (NULL: unmatched), counted without making the view."""
+    tx = transactions(tables, options)[0]
+    return tier_counts(tx, tables["bank"], options.tiers() if options.include_reconciliation else (), options.blank_keys_match)
 
 
 def stage_funnel(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -> DataFrame:
     """Rows per stage, to see where an empty result comes from.
 
-    The linked rows are labelled once with the last stage they reach and staged; the view and its matches are counted from the matching of the successful ones.
+    The linked rows are labelled once with the last stage they reach and staged; the view and its matches are counted from the
+    signatures of the successful ones, without making them.
     """
     linked = lc.auth_capture_groups(unify(tables, options.flavour, options.date_range))
     rows = lc.with_outcome(linked, options.partial_refunds)
@@ -113,12 +111,10 @@ def stage_funnel(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -
     counts = rows.agg(F.count(F.lit(1)).alias("a"), F.count_if("_merged").alias("b"), F.count_if("_good").alias("c")).select(F.array(*[
         F.struct(F.lit(name).alias("stage"), F.col(c).alias("n_rows"))
         for name, c in (("2 linked", "a"), ("3 merged", "b"), ("4 successful", "c"))]).alias("x"))
-    good = rows.where("_good").select(*narrow)
-    if options.include_reconciliation:
-        good = reconcile(good, tables["bank"], options.tiers(), options.blank_keys_match)
-    else:
-        good = good.withColumn(MATCH_TYPE, F.lit(None).cast("string"))
-    ends = good.agg(F.count(F.lit(1)).alias("a"), F.count(MATCH_TYPE).alias("b")).select(F.array(
+    tiers = options.tiers() if options.include_reconciliation else ()
+    good = tier_counts(rows.where("_good"), tables["bank"], tiers, options.blank_keys_match, by=())
+    ends = good.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("a"),
+                    F.coalesce(F.sum(F.when(F.col(MATCH_TYPE).isNotNull(), F.col("n_rows"))), F.lit(0)).alias("b")).select(F.array(
         F.struct(F.lit("5 view").alias("stage"), F.col("a").alias("n_rows")),
         F.struct(F.lit("6 matched").alias("stage"), F.col("b").alias("n_rows"))).alias("x"))
     return raw.union(counts).union(ends).select(F.inline("x"))

@@ -10,6 +10,7 @@ from payrecon.functions.outcome import response_category
 from payrecon.operators.selection import FieldReport, distinct_orders, first_rows, resolve_fields
 from payrecon.plans.options import QueryOptions
 from payrecon.plans.payment_view import payment_view, view_columns
+from payrecon.plans.view import refresh_named
 
 
 def payment_query(tables: dict[str, DataFrame], fields: dict[str, list[str]] | list[str] | None = None,
@@ -43,11 +44,12 @@ def query_from_json(text: str) -> tuple[dict[str, list[str]] | list[str] | None,
 
 
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, **args) -> DataFrame:
-    """SQL with ``:name`` parameters (or ``{{name}}`` placeholders, read as such) over named frames."""
+    """SQL with ``:name`` parameters (or ``{{name}}`` placeholders, read as such) over named frames and registered views."""
     for name in args:
         text = text.replace("'{{" + name + "}}'", f":{name}").replace("{{" + name + "}}", f":{name}")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
+    refresh_named(spark, text)
     return spark.sql(text, args=args)
 
 

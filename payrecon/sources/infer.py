@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from payrecon.functions.cleaners import clean_date
 from payrecon.sources import spec as sp
-from payrecon.sources.scan import FILE, scan_source
+from payrecon.sources.scan import FILE, covers, file_shapes, sample_rows
 
 
 def sample_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,15 +74,42 @@ def infer_spec(df: DataFrame, source: str, sample: int = 20, strict: bool = Fals
     return sp.SourceSpec(source, source, specs, duplicate_keys=sp.DUPLICATE_KEYS[source])
 
 
+def guesses(spark: SparkSession, samples: dict[str, dict[str, list[str]]], strict: bool = False) -> dict[str, dict[str, str]]:
+    """The type that the sampled values of each file and header suggest, for all files by one job.
+
+    ``samples``: values by file and header, a bounded number each.
+    """
+    names = [(path, header) for path, columns in samples.items() for header in columns]
+    values = [(i, value) for i, (path, header) in enumerate(names) for value in samples[path][header]]
+    c = F.col("value")
+    filled = F.trim(c) != ""
+    facts = spark.createDataFrame(values, "i long, value string").groupBy("i").agg(
+        F.count_if(filled).alias("n_values"), F.count_if(filled & clean_date(c).isNotNull()).alias("n_dates"),
+        F.count_if(filled & c.contains("*") & c.rlike("[0-9]")).alias("n_masked"))
+    out: dict[str, dict[str, str]] = {path: {} for path in samples}
+    for row in facts.select("i", guessed_type(1.0 if strict else 0.5).alias("guess")).collect():
+        path, header = names[row["i"]]
+        out[path][header] = row["guess"]
+    return out
+
+
 def build_specs(spark: SparkSession, config: dict, sample: int = 20, strict: bool = False,
                 tables: dict[str, str] | None = None) -> dict[str, sp.SourceSpec]:
-    """Specs of all sources of a configuration; columns of several files are merged."""
+    """Specs of all sources of a configuration; columns of several files are merged.
+
+    However many files there are, they are profiled by one job, their first ``sample`` rows fetched by another, and their types
+    guessed by a third over those rows alone.
+    """
+    asked = sp.check_config(config, tables)
+    every = [path for files in asked.values() for path in files]
+    shapes = file_shapes(spark, every, sp.SourceSpec("", "")) if every else {}
+    rows = sample_rows(spark, shapes, sample)
+    by_header = {path: {name: [r[i] for r in rows[path]] for i, name in enumerate(shape.header.names)} for path, shape in shapes.items()}
+    guessed = guesses(spark, by_header, strict) if by_header else {}
     out = {}
-    for source, files in sp.check_config(config, tables).items():
-        per_file = []
-        for path in files:
-            raw = scan_source(spark, sp.SourceSpec(source, source), [path]).drop(FILE)
-            per_file.append(infer_spec(raw, source, sample, strict).columns)
+    for source, files in asked.items():
+        own = [f for path in files for f in sorted(shapes) if covers(path, f)]
+        per_file = [sp.build_columns(source, list(shapes[f].header.names), guessed[f])[0] for f in own]
         out[source] = sp.SourceSpec(
             source, (tables or {}).get(source, source), sp.merge_columns(per_file), tuple(files),
             duplicate_keys=sp.DUPLICATE_KEYS[source])

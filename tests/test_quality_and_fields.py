@@ -1,3 +1,4 @@
+import tempfile
 from datetime import datetime
 from decimal import Decimal
 
@@ -9,9 +10,9 @@ from payrecon.functions import cleaners as c
 from payrecon.operators import quality, selection as sel
 from payrecon.operators.cleaning import clean_source, conform
 from payrecon.operators.duplicates import FLAG, duplicate_report, flag_duplicates, usable_keys
-from payrecon.plans import payment_view as pv
+from payrecon.plans import payment_view as pv, view as vw
 from payrecon.plans.options import QueryOptions
-from payrecon.plans.query import payment_query, query_fields, query_from_json, query_to_json
+from payrecon.plans.query import payment_query, query_fields, query_from_json, query_to_json, run_sql
 from payrecon.sources.spec import DUPLICATE_KEYS, ColumnSpec, SourceSpec, default_spec
 
 
@@ -126,12 +127,40 @@ def test_query_end_to_end(spark):
 def test_named_view_and_funnel(spark):
     tables = build(spark, checkout_v1=[{"order": 1, "pay": "p1", "status": "Capture", "rrn": "R", "auth": "A"}],
                    bank=[{"rrn": "R", "auth": "A"}], **linked(1))
-    pv.register_view(spark, tables, "pv_test")
-    assert spark.sql("SELECT bank_match_type FROM pv_test").count() == 1
-    assert pv.drop_view(spark, "pv_test") and not pv.drop_view(spark, "pv_test")
+    vw.register_view(spark, tables, "pv_test")
+    assert run_sql(spark, "SELECT bank_match_type FROM pv_test").count() == 1
+    assert vw.drop_view(spark, "pv_test") and not vw.drop_view(spark, "pv_test")
+    with pytest.raises(ValueError, match="no view"):
+        vw.read_view(spark, "pv_test")
     assert [r["n_rows"] for r in pv.stage_funnel(tables).orderBy("stage").collect()] == [1] * 6
 
 
+def test_view_follows_its_tables(spark):
+    """A gateway and the bank change between registering and reading, in the catalogue and in a folder; registering runs nothing."""
+    pay = {"order": 1, "pay": "p1", "status": "Capture", "rrn": "R", "auth": "A"}
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    full = build(spark, checkout_v1=[pay, pay], bank=[{"rrn": "R", "auth": "A"}], **linked(1))
+    sources = {name: f"{folder}/{name}" for name in full} | {"bank": "bank_of_view"}
+    for name in full:
+        full[name].write.parquet(f"{folder}/{name}")
+    full["bank"].write.mode("overwrite").saveAsTable("bank_of_view")
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(vw, "payment_view", lambda *a: pytest.fail("computed at once"))
+            vw.register_view(spark, sources, "fresh")
+        seen = lambda: sorted((r["rrn"], r["bank_rrn"] or "") for r in run_sql(spark, "SELECT * FROM fresh f").collect())
+        assert seen() == [("R", "R")] * 2
+        build(spark, checkout_v1=[{**pay, "rrn": "Q", "auth": "B"}, pay, pay], **linked(1))["checkout_v1"].write.mode("overwrite").parquet(
+            f"{folder}/checkout_v1")
+        assert seen() == [("Q", ""), ("R", "R"), ("R", "R")]
+        build(spark, bank=[{"rrn": "Q", "auth": "x"}])["bank"].write.mode("overwrite").saveAsTable("bank_of_view")
+        assert seen() == [("Q", "Q"), ("R", ""), ("R", "")]
+        assert vw.read_view(spark, "fresh").count() == 3
+    finally:
+        vw.drop_view(spark, "fresh")
+        spark.sql("DROP TABLE bank_of_view")
+
+
 def test_first_rows_beyond_one_task(spark):
     from payrecon.operators.selection import first_rows
 

@@ -115,6 +115,16 @@ def test_against_brute_force(spark, chosen, blank):
     got = rc.reconcile(tx_df, bank_df, tiers, blank).select(*tx_df.columns, "bank_rrn", "bank_auth_code", "bank_amount", rc.MATCH_TYPE)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
+    sums = {}
+    for row in want:
+        n, total = sums.get((row[0] or "none", row[-1]), (0, None))
+        sums[row[0] or "none", row[-1]] = (n + 1, total if row[2] is None else (total or 0) + row[2])
+    by = tx_df.withColumn("gateway_source", F.coalesce(F.nullif("final_rrn", F.lit("")), F.lit("none")))
+    for frame in (rc.tier_counts(by, bank_df, tiers, blank), rc.match_summary(rc.reconcile(by, bank_df, tiers, blank))):
+        assert {(r["gateway_source"], r[rc.MATCH_TYPE]): (r["n_rows"], r["total_amount"]) for r in frame.collect()} == sums
+    got = {r[rc.MATCH_TYPE]: r["n_rows"] for r in rc.tier_counts(by, bank_df, tiers, blank, by=()).collect()}
+    assert got == {label: sum(n for (_, x), (n, _) in sums.items() if x == label) for _, label in sums}
+
 
 def test_summary(spark):
     df = view(spark, checkout_v1=[PAY], bank=[{"auth": "A", "rrn": "R"}, {"auth": "x", "rrn": "R"}], **linked(1))
@@ -122,6 +132,37 @@ def test_summary(spark):
     assert got == {(rc.TIERS[0].label, 1), (rc.TIERS[1].label, 1)}
 
 
+def test_summary_of_blank_keys_makes_no_product(spark):
+    """2,000 signatures and 3,000 lines without keys: six million pairs are counted, and the groups that meet are few."""
+    tx = spark.range(2000).select(
+        F.lit("g").alias("gateway_source"), F.lit("").alias("final_rrn"), F.concat(F.lit("a"), "id").alias("final_authorization_code"),
+        (F.lit("10.00").cast("decimal(18,2)") + (F.col("id") % 2) * F.lit(Decimal("0.50"))).cast("decimal(18,2)").alias("amount"))
+    lines = spark.range(3000).select(F.lit("").alias("rrn"), F.concat(F.lit("b"), "id").alias("authorization_code"),
+                                     F.lit("10.00").cast("decimal(18,2)").alias("transaction_amount"))
+    bank = build(spark, bank=[])["bank"].unionByName(lines, allowMissingColumns=True)
+    stages = {}
+    real = rc.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rc, "staged", lambda df, name: stages.setdefault(name, real(df, name)))
+        got = {r[rc.MATCH_TYPE]: (r["n_rows"], r["total_amount"]) for r in rc.tier_counts(tx, bank).collect()}
+    assert got == {rc.TIERS[1].label: (3_000_000, Decimal("30000000.00")), rc.TIERS[4].label: (3_000_000, Decimal("31500000.00"))}
+    assert set(stages) == {"signatures", "met"} and stages["met"].count() == 2
+
+
+def test_stages_hold_narrow_columns_only(spark):
+    """A query of five columns stages signatures and pairs of signatures, and reads few columns of the tables."""
+    from payrecon.plans.query import payment_query
+    stages = []
+    real = rc.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rc, "staged", lambda df, name: stages.append((name, df.columns)) or real(df, name))
+        tables = build(spark, checkout_v1=[PAY], bank=[{"auth": "A", "rrn": "R"}], **linked(1))
+        names = ["gateway_order_id", "amount", "portal_chef_name", "bank_bank_name", "bank_match_type"]
+        df = payment_query(tables, names)
+        assert df.columns[:5] and df.count() == 1
+    assert [n for n, _ in stages] == ["signatures", "pairs"] and all(len(c) < 10 for _, c in stages)
+
+
 def test_plan_has_no_quadratic_join_and_no_python(spark):
     import contextlib
     import io
