@@ -23,7 +23,7 @@ from payrecon.plans import ingest as ing, payment_view as pv, view as vw  # noqa
 from payrecon.plans.options import QueryOptions  # noqa: E402
 from payrecon.plans.query import payment_query, row_count, run_sql  # noqa: E402
 from standin import dirty, payment_tables  # noqa: E402
-from payrecon.session import remove_dir, tune, work_dir  # noqa: E402
+from payrecon.session import remove_dir, staged, tune, work_dir  # noqa: E402
 from payrecon.sinks.writers import write_result  # noqa: E402
 from payrecon.sources import audit, infer, scan  # noqa: E402
 from payrecon.sources.spec import DUPLICATE_KEYS, ColumnSpec, SourceSpec, default_spec  # noqa: E402
@@ -481,6 +481,24 @@ def scan_mixed_files(spark, sf_dir):
     return found.select(F.col("RRN").alias("rrn"), F.col("`Bank Name`").alias("bank_name"))
 
 
+@query
+def scan_broken_lines(spark, sf_dir):
+    """One export whose fields hold line breaks, quotes and separators, cut into records by many tasks."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("RRN"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("a\n,"), "o_orderpriority", F.lit('\n\n"q"\n')))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('5" pipe '), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("Bank Name"))
+    home = work_dir(spark, "broken")
+    orders.write.options(header=True, escape='"').csv(home)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a small file stands for a large one
+    try:
+        found = scan.scan_source(spark, default_spec("bank"), [home]).select(F.col("RRN").alias("rrn"), F.col("`Bank Name`").alias("bank_name"))
+        return staged(found, "broken")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query
 def scan_both_escapes(spark, sf_dir):
     """Exports that escape quotes by quotes and by backslashes, and one with backslashes that escape nothing; no setting tells which."""

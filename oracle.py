@@ -365,6 +365,9 @@ SELECT 'R' || o_orderkey AS rrn,
   CASE WHEN o_orderkey % 5 = 3 THEN 'Café ' || o_custkey || chr(10) || 'line two, R' || o_orderkey
     WHEN o_orderkey % 5 = 4 AND o_orderkey % 3 = 1 THEN '' ELSE 'Café ' || o_custkey END AS bank_name
 FROM orders WHERE NOT (o_orderkey % 5 = 4 AND o_orderkey % 3 = 0)""",
+        "scan_broken_lines": """
+SELECT 'R' || o_orderkey AS rrn, CASE o_orderkey % 3 WHEN 0 THEN 'a' || chr(10) || ',' || o_orderpriority || chr(10) || chr(10) || '"q"' || chr(10)
+  WHEN 1 THEN '5" pipe ' || o_orderpriority ELSE o_orderpriority END AS bank_name FROM orders""",
         "scan_both_escapes": """
 SELECT 'R' || o_orderkey AS rrn, CASE o_orderkey % 3 WHEN 2 THEN 'c, R' || o_orderkey || chr(92)
   ELSE 'the "' || o_orderpriority || '", paid' END AS bank_name FROM orders""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, functions as F
 
@@ -45,19 +46,25 @@ ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\
 
 # ---------------------------------------------------------------------------
 
-_SHAPES = {
-    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}",
-    "H": r"\d{1,2}", "h": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", "a": "[AaPp][Mm]",
+_CODES = {
+    "yyyy": ("0000",), "MMM": ("aaa",), "MM": ("00",), "dd": ("00",), "a": ("aa",), **dict.fromkeys("MdHhms", ("0", "00")),
 }
 
 
-def _shape(fmt: str) -> str:
-    """Regex for the texts a datetime pattern can accept.
+def shape_code(c: Column) -> Column:
+    """A text with every digit as 0 and every letter (A-Z, a-z) as a: what kind of value it looks like."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    return F.translate(c, "0123456789" + letters, "0" * 10 + "a" * len(letters))
 
-    Testing it first keeps the parser away from texts it would reject with a (costly) exception.
+
+def shapes_of(fmt: str) -> tuple[str, ...]:
+    """The shape codes of the texts a datetime pattern can accept.
+
+    Looking a code up keeps the parser away from texts it would reject with a (costly) exception, and tells the parser of a
+    text by one translation instead of a pattern per format.
     """
     parts = re.findall(r"yyyy|MMM|MM|dd|[MdHhmsa]|.", fmt)
-    return "^" + "".join(_SHAPES.get(p, re.escape(p)) for p in parts) + "$"
+    return tuple("".join(codes) for codes in product(*[_CODES.get(p, (p,)) for p in parts]))
 
 
 def strip_control(c: Column) -> Column:
@@ -105,14 +112,14 @@ def spreadsheet_date(c: Column, leap_adjust: bool = True) -> Column:
 
 def clean_date(c: Column, source: str | None = None, excel_leap_adjust: bool = True) -> Column:
     """Date: day number, then the source's formats, then the general ones, then ISO 8601."""
-    by_shape: dict[str, list[str]] = {}
+    by_shape: dict[tuple[str, ...], list[str]] = {}
     for fmt in dict.fromkeys(SOURCE_DATE_FORMATS.get(source or "", ()) + DATE_FORMATS):
-        by_shape.setdefault(_shape(fmt), []).append(fmt)
+        by_shape.setdefault(shapes_of(fmt), []).append(fmt)
     # Shapes exclude each other, so only the order of formats within one matters. The ISO shape
     # is wider than the one with a full time; what that one rejects is no ISO date either.
-    parsed = F
-    for shape, formats in by_shape.items():
-        parsed = parsed.when(c.rlike(shape), F.coalesce(*[F.try_to_date(c, f) for f in formats]))
+    parsed, code = F, shape_code(c)
+    for shapes, formats in by_shape.items():
+        parsed = parsed.when(code.isin(*shapes), F.coalesce(*[F.try_to_date(c, f) for f in formats]))
     parsed = parsed.when(c.rlike(ISO_DATE), c.try_cast("date"))
     return F.when(~is_null_token(c), F.coalesce(spreadsheet_date(c, excel_leap_adjust), parsed))
 
@@ -125,7 +132,7 @@ def clean_time(c: Column, source: str | None = None) -> Column:
     from_fraction = F.format_string(
         "%02d:%02d:%02d", F.floor(second / 3600), F.floor(second % 3600 / 60), second % 60)
     attempts = [
-        F.when(text.rlike(_shape(f)), F.date_format(F.try_to_timestamp(text, F.lit(f)), "HH:mm:ss"))
+        F.when(shape_code(text).isin(*shapes_of(f)), F.date_format(F.try_to_timestamp(text, F.lit(f)), "HH:mm:ss"))
         for f in TIME_FORMATS
     ]
     return F.when(
