@@ -280,7 +280,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): root is the smallest node of its component.
 
     Alternating large-star and small-star steps; each round is two aggregates and two joins over the edges, written to
-    the shared folder. A hot node's edges are split by the adaptive join. Only two numbers a round reach the driver.
+    the shared folder. The aggregates group by a hash of the node besides, so that the joins shuffle both of their sides; only
+    such joins are split at a hot node. Only two numbers a round reach the driver.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     state = None
@@ -291,9 +292,9 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select("m", "m").distinct())
         state = now
         both = e.select(F.col("v").alias("u"), F.col("m").alias("n")).union(e.select("m", "v"))
-        least = both.groupBy("u").agg(F.least("u", F.min("n")).alias("m"))
+        least = both.groupBy(F.xxhash64("u").alias("spread"), "u").agg(F.least("u", F.min("n")).alias("m")).drop("spread")
         large = both.where("n > u").join(least, "u").where("n <> m").select(F.col("n").alias("v"), "m").distinct()
-        root = large.groupBy("v").agg(F.min("m").alias("r"))
+        root = large.groupBy(F.xxhash64("v").alias("spread"), "v").agg(F.min("m").alias("r")).drop("spread")
         small = large.join(root, "v").select(
             F.explode(F.array(F.struct(F.col("v"), F.col("r").alias("m")), F.struct(F.col("m").alias("v"), F.col("r").alias("m")))).alias("x"),
         ).select("x.*").where("v <> m").distinct()

@@ -7,12 +7,14 @@ values give the similarity a Beta(m+1, n-m+1) posterior, and a pair is dropped a
 the threshold falls below ``tolerance``. Pairs that survive all values are verified on their shingle sets, exactly.
 
 A pair that meets in several bands is compared in the first only. Large groups are never emitted as pairs: the members of
-a band's bucket are dealt into blocks, every two blocks meet in one task, and what leaves the task is one row per
-document. So a hot group costs its comparisons, spread over many tasks, and its rows grow with its blocks.
+a band's bucket are dealt into blocks of about 2,048, every two blocks meet in one task, and what leaves the task is one row per
+document and meeting with its partners. A group up to that size costs one row per member and band, a group of m members
+``m / 2048`` rows each; its comparisons are those of all pairs, some at a time, so a task's memory is bounded by two blocks.
 
 Defined results: texts without a word are linked to nothing and are a class of their own; a class has the id of its
-smallest document; ids must be unique and rows with a null id take no part in ``links`` (``keep_one`` keeps them); an
-empty table gives no rows. Extra columns are not read, or pass through.
+smallest document; ids must be unique and rows with a null id take no part in ``links``. ``keep_one`` goes by rows, whatever
+their ids are: of every group exactly one row stays, repeated rows and rows with null ids included. An empty table gives no
+rows. Extra columns are not read, or pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 STEP = 16
-BLOCK = 128
+#: Members of a bucket that meet at once. A group of near copies up to this size travels once per band; a larger one as
+#: blocks against blocks.
+BLOCK = 2048
 _FACTORS = mix64(np.arange(1, VALUES + 1, dtype=U64)) | U64(1)
 _FILTER_BITS = 23
 
@@ -99,7 +103,20 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
 
 
-def _candidates(batches: Iterable[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
+def _some_pairs(start: int, n: int, some: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs i < j of a large group, a bounded number at a time."""
+    at = 0
+    while at < n - 1:
+        left = n - 1 - at
+        k = min(left, max(1, some // left))
+        i = np.repeat(np.arange(at, at + k), n - 1 - np.arange(at, at + k))
+        first = np.r_[0, np.cumsum(n - 1 - np.arange(at, at + k))[:-1]]
+        j = np.arange(len(i)) - np.repeat(first, n - 1 - np.arange(at, at + k)) + i + 1
+        yield start + i, start + j
+        at += k
+
+
+def _candidates(batches: Iterable[pa.RecordBatch], least: list[int], some: int = 300_000) -> Iterator[pa.RecordBatch]:
     """Each document's partners that survive the pruning, per meeting of two blocks."""
     for table in whole_groups(batches, "meeting"):
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
@@ -107,37 +124,41 @@ def _candidates(batches: Iterable[pa.RecordBatch], least: list[int]) -> Iterator
         band, lone = table.column("band").to_numpy(), table.column("lone").to_numpy()
         starts = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1]])
         sizes = np.diff(np.r_[starts, len(meeting)])
-        costs = np.cumsum(sizes * sizes)
-        at = 0
-        while at < len(starts):  # some groups at a time, so that the pairs fit
-            stop = max(at + 1, int(np.searchsorted(costs, (costs[at - 1] if at else 0) + 300_000, side="right")))
-            i, j = _pairs(starts[at:stop], sizes[at:stop])
-            at = stop
-            keep = lone[i] | (block[i] != block[j])  # two different blocks: their inner pairs meet elsewhere
-            i, j = i[keep], j[keep]
-            # Pairs that agree in an earlier band have met there.
-            for b in range(BANDS - 1):
-                if not len(i):
-                    break
-                met = (band[i] > b) & (sig[i, b * ROWS:b * ROWS + ROWS] == sig[j, b * ROWS:b * ROWS + ROWS]).all(1)
-                i, j = i[~met], j[~met]
-            same = np.zeros(len(i), dtype=np.int64)
-            for s, m in enumerate(least):
-                same += (sig[i, s * STEP:(s + 1) * STEP] == sig[j, s * STEP:(s + 1) * STEP]).sum(1)
-                alive = same >= m
-                i, j, same = i[alive], j[alive], same[alive]
+        costs, at = np.cumsum(sizes * sizes), 0
+        while at < len(starts):  # many small groups together, or one large group in parts
+            stop = max(at + 1, int(np.searchsorted(costs, (costs[at - 1] if at else 0) + some, side="right")))
+            a, end = int(starts[at]), int(starts[stop - 1] + sizes[stop - 1])
+            chunks = [_pairs(starts[at:stop], sizes[at:stop])] if stop > at + 1 else _some_pairs(a, end - a, some)
+            at, left, right = stop, [], []
+            for i, j in chunks:
+                keep = lone[i] | (block[i] != block[j])  # two different blocks: their inner pairs meet elsewhere
+                i, j = i[keep], j[keep]
+                # Pairs that agree in an earlier band have met there.
+                for b in range(BANDS - 1):
+                    if not len(i):
+                        break
+                    met = (band[i] > b) & (sig[i, b * ROWS:b * ROWS + ROWS] == sig[j, b * ROWS:b * ROWS + ROWS]).all(1)
+                    i, j = i[~met], j[~met]
+                same = np.zeros(len(i), dtype=np.int64)
+                for s, m in enumerate(least):
+                    same += (sig[i, s * STEP:(s + 1) * STEP] == sig[j, s * STEP:(s + 1) * STEP]).sum(1)
+                    alive = same >= m
+                    i, j, same = i[alive], j[alive], same[alive]
+                left.append(i)
+                right.append(j)
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             if not len(i):
                 continue
-            touched, first = np.unique(np.r_[i, j], return_index=True)
-            order = np.argsort(i, kind="stable")
-            cut = np.searchsorted(i[order], np.r_[touched, len(meeting)])
-            partners = [ids[j[order[a:b]]] for a, b in zip(cut[:-1], cut[1:])]
+            touched = distinct(np.r_[i, j])
+            partners = ids[j[np.argsort(i, kind="stable")]]
+            cuts = np.searchsorted(np.sort(i), np.r_[touched, end])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(meeting[touched]), pa.array(ids[touched]), pa.array(partners, pa.list_(pa.int64()))], ["meeting", "id", "partners"])
+                [pa.array(meeting[touched]), pa.array(ids[touched]),
+                 pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(partners))], ["meeting", "id", "partners"])
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of a meeting, some shingles at a time."""
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets i and j (i ascending), some rows and some shingles at a time."""
     sizes = [len(x) for x in sets]
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     common = np.bincount(place, minlength=len(values)) > 1
@@ -145,44 +166,55 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     column, row = (np.cumsum(common) - 1)[place[keep]], np.repeat(np.arange(len(sets)), sizes)[keep]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    for at in range(0, int(common.sum()), 1 << 13):
-        a, b = np.searchsorted(column, [at, at + (1 << 13)])
-        part = np.zeros((len(sets), 1 << 13), dtype=np.float32)
-        part[row[a:b], column[a:b] - at] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
+    wide = max(256, (1 << 21) // max(1, len(sets)))
+    out = np.zeros(len(i), dtype=np.int64)
+    for top in range(0, len(sets), 512):
+        a, b = np.searchsorted(i, [top, top + 512])
+        if a == b:
+            continue
+        counts = np.zeros((min(512, len(sets) - top), len(sets)), dtype=np.float32)  # whole numbers far below 2**24
+        for at in range(0, int(common.sum()), wide):
+            c, d = np.searchsorted(column, [at, at + wide])
+            part = np.zeros((len(sets), wide), dtype=np.float32)
+            part[row[c:d], column[c:d] - at] = 1
+            counts += part[top:top + 512] @ part.T
+        out[a:b] = counts[i[a:b] - top, j[a:b]].astype(np.int64)
+    return out
 
 
 def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Exact similarity of the surviving pairs of each meeting; one row per linked document."""
     for table in whole_groups(batches, "meeting"):
-        meeting, ids, copies = (table.column(c).to_numpy() for c in ("meeting", "id", "copies"))
-        partners = table.column("partners").to_pylist()
+        meeting = table.column("meeting").to_numpy()
         starts = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1]])
-        out: list[tuple] = []
-        for a, b in zip(starts, [*starts[1:], len(meeting)]):
-            data, offsets = utf8(table.column("text").slice(a, b - a))
-            grams, cuts = ngrams(words(data, offsets), SHINGLE)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(meeting)]):
+            group = table.slice(a, b - a)
+            ids, copies = (group.column(c).to_numpy() for c in ("id", "copies"))
+            partners = group.column("partners").combine_chunks()
+            grams, cuts = ngrams(words(*utf8(group.column("text"))), SHINGLE)
             sets = [distinct(grams[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
-            index = {int(v): k for k, v in enumerate(ids[a:b])}
-            i = np.repeat(np.arange(b - a), [len(p) for p in partners[a:b]])
-            j = np.array([index[p] for own in partners[a:b] for p in own], dtype=np.int64)
-            shared, sizes = shared_counts(sets)[i, j], np.array([len(x) for x in sets])
+            order = np.argsort(ids)
+            i = np.repeat(np.arange(len(ids)), partners.value_lengths().to_numpy())
+            j = order[np.searchsorted(ids[order], partners.flatten().to_numpy())]
+            shared, sizes = shared_counts(sets, i, j), np.array([len(x) for x in sets])
             linked = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
             i, j = i[linked], j[linked]
-            links = np.bincount(np.r_[i, j], minlength=b - a)
-            weight = np.bincount(np.r_[i, j], weights=copies[a:b][np.r_[j, i]], minlength=b - a).astype(np.int64)
-            root = list(range(b - a))
-            for x, y in zip(i.tolist(), j.tolist()):  # union by the smaller index, after halving the paths
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
-                root[max(x, y)] = min(x, y)
-            out += [(int(ids[a + k]), int(links[k]), int(weight[k]), int(ids[a + root[k]])) for k in np.flatnonzero(links)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "classes", "documents", "peer"])
+            links = np.bincount(np.r_[i, j], minlength=len(ids))
+            weight = np.bincount(np.r_[i, j], weights=copies[np.r_[j, i]], minlength=len(ids)).astype(np.int64)
+            root = np.arange(len(ids))
+            while True:  # every document takes the smallest root among its partners, then its root's root
+                least = root.copy()
+                np.minimum.at(least, i, root[j])
+                np.minimum.at(least, j, root[i])
+                least = least[least]
+                if (least == root).all():
+                    break
+                root = least
+            own = np.flatnonzero(links)
+            if len(own):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.astype(np.int64)) for x in (ids[own], links[own], weight[own], ids[root[own]])],
+                    ["id", "classes", "documents", "peer"])
 
 
 def copy_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,6 +275,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLE
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest id."""
-    gone = staged(links(docs, **parameters).where("doc_id <> class_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id, null ids last, the first of
+    repeated rows."""
+    row, doc = "_row_of_copy", "_doc_of_copy"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "copies-rows")
+    found = links(rows.select(F.col(row).alias("doc_id"), F.col("text")), **parameters).where("n_links > 0")
+    found = staged(found.select(F.col("doc_id").alias(row), "class_id"), "copies")
+    order = F.struct(F.col(doc).isNull(), doc, row)
+    ids = rows.select(row, F.col("doc_id").alias(doc))
+    kept = found.join(ids, row).groupBy("class_id").agg(F.min_by(row, order).alias(row))
+    gone = staged(found.select(row).join(kept.select(row), row, "left_anti"), "near-copies")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
