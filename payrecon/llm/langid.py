@@ -5,13 +5,13 @@ lengths 5 to 1 with word ends marked. A text's score for a language is the mean
 its log frequency; a word not in it gives the mean of those of its 5-grams that are known, failing that of its 4-grams, and so on;
 a word of which not even a character is known says nothing. The score is the best language's share after a softmax.
 
-The model's bounds are parameters: ``sample_docs`` labelled documents are read for it (chosen by a hash of the id, about
-that many however large the table is), and of every table the ``max_words`` or ``max_grams`` most frequent entries are
-kept. So it may be broadcast. Predictions read every document whole.
+The model's bound is a parameter: ``sample_docs`` labelled documents are read for it (chosen by a hash of the id, about
+that many however large the table is). Every word they use twice and every n-gram of their words is kept; their number
+bounds the model, so it may be broadcast. Predictions read every document whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every text if there is nothing
-to learn from; ties go to the language that comes first in the alphabet; repeated rows get equal rows; an empty table gives no rows; extra
-columns pass through ``identify``.
+to learn from; ties go to the language that comes first in the alphabet; repeated rows get equal rows; an empty table gives no rows. Extra
+columns pass through; ``identify`` replaces columns named like its two, ``keep_identified`` leaves all as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from payrecon.llm.common import U64, Words, lowered, mix64, staged, sub_batches, utf8, words
 
 LENGTHS = (5, 4, 3, 2, 1)
-SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS = 20_000, 200_000, 50_000
+SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
 _BYTE = mix64(np.arange(1000, 1257, dtype=U64))
 _BASE = 0x9FB21C651E98DF25
@@ -117,8 +117,12 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
-    """A model of the non-null ``lang`` values of (doc_id, text, lang); None if there is nothing to learn from."""
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+    """A model of the non-null ``lang`` values of (doc_id, text, lang); None if there is nothing to learn from.
+
+    ``sample_docs`` bounds the labelled documents it learns from (about that many, by a hash of the id). All words that these use
+    twice and all their n-grams are in the model, so their number bounds its size too.
+    """
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     n = usable.select("lang").count()
     if not n:
@@ -134,9 +138,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int =
     tables = {}
     for level in (0, *LENGTHS):
         wide = counted.where(F.col("level") == level).groupBy("h").agg(
-            F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
+            F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, lang in enumerate(langs)])
         # A word seen once says less than its n-grams do.
-        top = wide.where(F.col("all") >= (2 if level == 0 else 1)).orderBy(F.desc("all"), "h").limit(max_grams if level else max_words).toArrow()
+        top = wide.where(F.col("all") >= (2 if level == 0 else 1)).drop("all").toArrow()
         h = top.column("h").to_numpy().view(U64)
         order = np.argsort(h)
         n_of = np.stack([top.column(f"n{i}").to_numpy() for i in range(len(langs))], 1)[order].astype(float)
@@ -145,14 +149,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int =
     return Model(langs, tables)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    own = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+def _free(name: str, columns: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def predict(docs: DataFrame, model: Model | None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score in the columns ``into``; columns of these names are replaced."""
+    docs = docs.drop(*into)
+    own = docs.withColumns({into[0]: F.lit(UNKNOWN), into[1]: F.lit(0.0)})
     if model is None:
         return own
-    letter = "_has_letter"
-    while letter in docs.columns:
-        letter += "_"
+    letter = _free("_has_letter", docs.columns)
     names = list(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,7 +178,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             pred = pa.array([m.langs[b] if ok else UNKNOWN for b, ok in zip(best, named)], pa.string())
             score = pa.array(np.where(named, share.max(1), 0.0))
             kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pred, score], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pred, score], [*names, *into])
 
     marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, own.schema)
@@ -178,9 +188,9 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def identify(docs: DataFrame, **bounds) -> DataFrame:
-    """``docs`` with lang_pred and score; learns from the documents that are not held out."""
-    return predict(docs, train(docs.where(F.coalesce(~held_out(), F.lit(True))), **bounds))
+def identify(docs: DataFrame, into: tuple[str, str] = ("lang_pred", "score"), **bounds) -> DataFrame:
+    """``docs`` with language and score; learns from the documents that are not held out."""
+    return predict(docs, train(docs.where(F.coalesce(~held_out(), F.lit(True))), **bounds), into)
 
 
 def report(docs: DataFrame, **bounds) -> DataFrame:
@@ -192,8 +202,6 @@ def report(docs: DataFrame, **bounds) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, **bounds) -> DataFrame:
     """Without the documents that have no language or whose best language is hardly better than the others."""
-    names = {"lang_pred", "score"} & set(docs.columns)
-    if names:
-        raise ValueError(f"columns {sorted(names)} are taken")
-    found = identify(docs, **bounds)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    lang, score = (_free(name, docs.columns) for name in ("_lang_pred", "_lang_score"))
+    found = identify(docs, (lang, score), **bounds)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
