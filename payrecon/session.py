@@ -62,6 +62,19 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name and rename it, so that it is there whole or not at all. An existing one is an error."""
+    jvm = spark._jvm
+    target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(parts, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(parts, target):
+        fs.delete(parts, False)
+        raise FileExistsError(path)
+
+
 _STAGES: list[tuple[SparkSession, str]] = []
 
 
