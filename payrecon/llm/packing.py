@@ -37,6 +37,7 @@ from payrecon.llm.common import staged, sub_batches
 END_TOKEN = 1
 SEQUENCE = 2048
 VOCABULARY = "byte_bpe_50k"
+SPECIAL = {"<|endoftext|>": 50256}
 _STAGED = pa.schema([("part", pa.int32()), ("source", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string())])
@@ -45,24 +46,25 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 @lru_cache(maxsize=1)
 def encoder(folder: str | None = None):
     """The byte-level BPE of ``byte_bpe_50k.json``: the same vocabulary as ranks, whose encoder is several times faster
-    and gives the same ids (tested). ``folder`` holds the vocabulary files; by default the installed public ones."""
+    and gives the same ids (tested), its one special token included, which is recognised where a text spells it. ``folder``
+    holds the vocabulary files; by default the installed public ones."""
     import public_tokenizers
     import tiktoken
 
     path = f"{folder}/{VOCABULARY}.tiktoken" if folder else public_tokenizers.path(f"{VOCABULARY}.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def _tokenise(batches: Iterable[pa.RecordBatch], folder: str | None) -> Iterator[pa.RecordBatch]:
     """Token ids of each document and its place among its source's tokens of this task."""
-    encode, part = encoder(folder).encode_ordinary, TaskContext.get().partitionId()
+    bpe, part = encoder(folder), TaskContext.get().partitionId()
     used: dict[str | None, int] = {}
     for batch in sub_batches(batches):
         rows = []
         for doc_id, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source"))):
-            ids = np.array([*encode(text or ""), END_TOKEN], dtype="<u2")
+            ids = np.array([*bpe.encode(text or "", allowed_special="all"), END_TOKEN], dtype="<u2")
             start = used.get(source, 0)
             used[source] = start + len(ids)
             rows.append((part, source, doc_id, start, len(ids), ids.tobytes()))

@@ -122,6 +122,24 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert texts[i][int(s):int(e)] == keys[i]
 
 
+@pytest.mark.parametrize("before", ["", "aws_session_access_key=", "config/production/session/", "a=b=", "https//host.example/v1/"])
+def test_values_behind_names_and_paths_are_found(spark, before):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(40)]
+    texts = [f"{prose(i, 20)} {before}{k} {prose(i, 5)}" for i, k in enumerate(keys)] + [
+        " ".join("".join(random.Random(i * 9 + j).choice(["the", "ing", "er", "and", "re", "tion"]) for j in range(9)) for _ in range(3)) for i in range(60)]
+    texts += ["some_configuration_parameter_name=another_long_value_of_words", "the/path/of/some/exceptionally/longdirectorynamesinaplace"]
+    found = 0
+    for r in secrets.report(table(spark, texts)).collect():
+        spans = [x.split(":")[1:] for x in r.spans.split(",") if x.startswith("random")]
+        if r.doc_id < 40:
+            found += any(texts[r.doc_id][int(s):int(e)].endswith(keys[r.doc_id]) for s, e in spans)
+        else:
+            assert not spans
+    assert found >= 36
+
+
 def test_secrets_in_awkward_tables(spark):
     got = secrets.report(awkward(spark)).collect()
     assert len(got) == awkward(spark).count() and all(r.n_hex == 0 for r in got)
@@ -141,8 +159,65 @@ def test_words_first_then_shorter_grams(spark):
     assert (got[901].lang_pred, got[901].score) == ("und", 0.0) == (got[902].lang_pred, got[902].score)
     assert got[903].lang_pred in ("de", "en")
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
-    kept = langid.keep_identified(docs.drop("score"))
-    assert {901, 902} & {r.doc_id for r in kept.collect()} == set() and kept.columns == docs.drop("score").columns
+    for own in (docs, docs.withColumnRenamed("key", "lang_pred").withColumnRenamed("id", "_lang_score")):
+        kept = langid.keep_identified(own)
+        assert {901, 902} & {r.doc_id for r in kept.collect()} == set() and kept.columns == own.columns
+        assert {r.score for r in kept.collect()} == {0.5}
+    found = langid.identify(docs)
+    assert sorted(found.columns) == sorted([*docs.columns, "lang_pred"]) and {r.doc_id: r.score for r in found.collect()} == {
+        i: r.score for i, r in got.items()}
+
+
+def brute_languages(rows):
+    """{doc_id: (language, score)} from counts in dictionaries; grams of bytes with both ends marked."""
+    lengths = (5, 4, 3, 2, 1)
+    counts, totals = [{} for _ in range(6)], Counter()
+
+    def grams(word, k):
+        marked = ["^", *word.encode(), "^"]
+        return [tuple(marked[i:i + k]) for i in range(len(marked) - k + 1)]
+
+    for doc, text, lang in rows:
+        if lang is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            for word in tokens(text):
+                for level, keys in [(0, [word]), *[(k, grams(word, k)) for k in lengths]]:
+                    for key in keys:
+                        counts[level].setdefault(key, Counter())[lang] += 1
+                        totals[lang, level] += 1
+    counts[0] = {w: c for w, c in counts[0].items() if sum(c.values()) > 1}
+    langs = sorted({lang for lang, _ in totals})
+
+    def logs(level, key):
+        return [math.log((counts[level][key][x] + 0.5) / (totals[x, level] + 0.5 * (len(counts[level]) + 1))) for x in langs]
+
+    def of_word(word):
+        if word in counts[0]:
+            return logs(0, word)
+        for k in lengths:
+            known = [logs(k, g) for g in grams(word, k) if g in counts[k]]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known)]
+        return [0.0] * len(langs)
+
+    out = {}
+    for doc, text, _ in rows:
+        own = [of_word(w) for w in tokens(text)]
+        mean = [sum(c) / len(own) for c in zip(*own)] if own else [0.0] * len(langs)
+        share = [math.exp(m - max(mean)) for m in mean]
+        named = any(c.isalpha() for c in text or "")
+        out[doc] = (langs[share.index(max(share))], max(share) / sum(share)) if named else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the of cat", "dog house x", "der die katze", "hund haus", "le chat maison"]) for _ in range(rng.randrange(1, 9)))
+             + rng.choice(["", " zzz", " houses", " katzen qq"]), rng.choice(["en", "de", "fr", None])) for i in range(80)]
+    rows += [(80, None, "en"), (81, "", "de"), (82, "12 !!", "en"), (83, "unseen words only", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute_languages(rows)
+    for r in langid.report(docs).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-5
 
 
 def test_labels_of_held_out_documents_are_not_used(spark):
@@ -239,13 +314,13 @@ def ids_of(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4") for x in texts]
 
 
 @pytest.mark.parametrize("targets", [None, {"a": 1.0, None: 3.0}])
 def test_pieces_hold_every_token_once(spark, targets):
     texts = [prose(i, 5 + 40 * (i % 7)) for i in range(40)] + [None, "", "日本 🙂 <|endoftext|> don't  x\n\n", "a" * 3000]
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>  ", "x  <|endoftext|>\n", "<|endoftext", " <|endoftext|>  y"]
     docs = table(spark, [(i, t) for i, t in enumerate(texts[:20])], source="a").union(
         table(spark, [(20 + i, t) for i, t in enumerate(texts[20:30])], source="b")).union(
         table(spark, [(30 + i, t) for i, t in enumerate(texts[30:])], source=None)).repartition(3)
