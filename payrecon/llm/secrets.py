@@ -1,7 +1,8 @@
 """Secret scan: patterns, and a battery of randomness tests with length-aware false-discovery control. SQL functions only.
 
 Patterns give the base spans. The method then looks at every run of 20 or more characters that could be an encoded
-value. For each distinct run the encoding is inferred (digits, hex, base32, one-case letters, letters and digits,
+value, equals signs ending it, so that names are not taken for a part of their values, and at every segment of 20 or more of a run with
+slashes, besides the whole run; a segment inside a run that is found is not listed again. For each distinct run the encoding is inferred (digits, hex, base32, one-case letters, letters and digits,
 base64), which gives the alphabet size K, and with n characters the battery is
 
 * chi-squared uniformity over the alphabet, with the exact mean and variance of a uniform multinomial,
@@ -12,7 +13,8 @@ A run is kept as possibly random if none of the three rejects randomness. Whethe
 the other hypothesis, ordinary text: the corpus's own index of coincidence and rate of changes between character classes
 (measured over its letter-only runs) say which chi-squared value and how many class changes a text of that length would
 have. The two p-values are combined (Fisher), and Benjamini-Hochberg is applied in strata of length, over distinct runs,
-so short runs, for which the tests have little power, are held to what their own length can show.
+so short runs, for which the tests have little power, are held to what their own length can show. Runs of digits alone go through
+the tests but are never discoveries: other numbers are as uniform and have no class changes, so nothing tells a secret from them.
 
 The positions come from marking matches with control characters and adding up the pieces' lengths, as SQL has no function
 that lists match positions; those two characters are first replaced in the text by a third one of the same length, which
@@ -35,7 +37,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_RUN = 20
 #: Whole runs, tried from their start only, so that a word costs one try and not one for each of its letters.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}" % MIN_RUN
 #: Encodings in the order they are tried: pattern of the whole run (without padding) and alphabet in its order.
 ENCODINGS = (
     ("digits", r"^[0-9]+$", "0123456789"),
@@ -69,6 +71,22 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(marked), fold), 1)
 
 
+def _with_segments(runs: Column) -> Column:
+    """Runs, each followed by its segments between slashes that are long enough."""
+
+    def segments(m: Column) -> Column:
+        def add(acc: Column, piece: Column) -> Column:
+            own = F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(piece)).alias("end"), piece.alias("match"))
+            return F.struct((acc["pos"] + F.length(piece) + 1).alias("pos"), F.concat(acc["found"], F.array(own)).alias("found"))
+
+        first = F.struct(m["start"].alias("pos"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        found = F.aggregate(F.split(m["match"], "/"), first, add, lambda acc: acc["found"])
+        return F.filter(found, lambda piece: F.length(piece["match"]) >= MIN_RUN)
+
+    return F.flatten(F.transform(runs, lambda m: F.when(
+        F.contains(m["match"], F.lit("/")), F.concat(F.array(m), segments(m))).otherwise(F.array(m))))
+
+
 def _normal(z: Column) -> Column:
     """Distribution function of the normal law (Zelen and Severo's polynomial, error below 1e-7), never below 1e-40."""
     a = F.abs(z)
@@ -167,7 +185,7 @@ def scan(docs: DataFrame, q: float = 0.01) -> DataFrame:
     base = F.array_sort(F.concat(of(0, assign), of(1, access), of(2, digits)))
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), _matches(text, RUN).alias("runs"))
     first = staged(rows.select("doc_id", "row", base.alias("base"), "runs"), "secret-runs")
-    each = first.select("row", F.explode("runs").alias("m")).select("row", "m.start", "m.end", F.col("m.match").alias("token"))
+    each = first.select("row", F.explode(_with_segments(F.col("runs"))).alias("m")).select("row", "m.start", "m.end", F.col("m.match").alias("token"))
     random = discoveries(each.select("token").distinct(), q)
     extra = each.join(random, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("extra"))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -183,8 +201,9 @@ def report(docs: DataFrame, q: float = 0.01) -> DataFrame:
 
     named = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("rank"),
                                                    F.element_at(names, s["kind"] + 1).alias("kind")))
-    # A random run that a base span already covers is not listed again.
-    new = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    # A random run that a base span or a longer random run already covers is not listed again.
+    new = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"]))
+                   & ~F.exists("extra", lambda o: (o["start"] <= e["start"]) & (o["end"] >= e["end"]) & (o["end"] - o["start"] > e["end"] - e["start"])))
     extra = F.transform(new, lambda e: F.struct(
         e["start"].alias("start"), e["end"].alias("end"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind")))
     key = lambda a, b: F.when(F.struct(a["start"], a["rank"], a["end"]) < F.struct(b["start"], b["rank"], b["end"]), -1).otherwise(1)
