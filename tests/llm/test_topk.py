@@ -1,0 +1,78 @@
+"""Exact top-k against all scores."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from payrecon.llm import topk
+
+
+def brute(rows, asked, k, scale=64):
+    whole = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole.setdefault(i, []).append([math.floor(scale * x) for x in v])
+    out = []
+    for q in asked:
+        for own in whole.get(q, []):
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, vs in whole.items() if i != q for v in vs if len(v) == len(own))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, "x", 0.5) for i, v in rows], "vec_id long, embedding array<float>, query_id string, score double")
+
+
+def check(spark, rows, k=4, shard_rows=8):
+    df = vectors(spark, rows)
+    asked = [i for i, _ in rows if i is not None and i % 5 == 0]
+    got = topk.top_k(df, df.where("vec_id % 5 = 0"), k=k, shard_rows=shard_rows)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    found = sorted(map(tuple, got.collect()))
+    assert found == brute([(i, v) for i, v in rows], asked, k)
+    return found
+
+
+def random_rows(seed, n, size=6, steps=4):
+    rng = random.Random(seed)
+    return [(i, [rng.randrange(-steps, steps + 1) / 4 for _ in range(size)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("k, shard_rows", [(1, 8), (4, 8), (20, 1000), (200, 16)])
+def test_equals_all_scores(spark, k, shard_rows):
+    """Ties everywhere; more shards than one, one shard, fewer candidates than k."""
+    found = check(spark, random_rows(k, 90), k, shard_rows)
+    assert len(found) == 18 * min(k, 89)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = random_rows(7, 30)
+    rows[0] = (0, None)
+    rows[1] = (1, [])
+    rows[2] = (2, [1.0, None, 0.0, 0.0, 0.0, 0.0])
+    rows[3] = (3, [float("nan")] * 6)
+    rows[5] = (5, [float("inf")] + [0.0] * 5)
+    rows[10] = (None, rows[10][1])
+    rows += [(40, [1.0, 2.0]), (41, [3.0, 4.0]), (45, [1.0])]
+    found = check(spark, rows)
+    assert {q for q, *_ in found} == {15, 20, 25, 40}
+
+
+def test_repeated_vectors_are_separate_candidates(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(12)]
+    assert [v for q, _, v, _ in check(spark, rows, 3) if q == 0] == [1, 2, 3]
+
+
+def test_scores_are_exact_beyond_doubles(spark):
+    big = [(i, [2.0 ** 22 + (i % 3) * 0.5, 2.0 ** 22, float(i % 2)]) for i in range(12)]
+    check(spark, big, 5)
+
+
+def test_no_rows(spark):
+    df = vectors(spark, random_rows(1, 9))
+    assert topk.top_k(df, df.where("1 = 0"), k=3).collect() == []
+    assert topk.top_k(df.where("1 = 0"), df.where("1 = 0"), k=3).collect() == []
+    assert topk.top_k(df.where("1 = 0"), df, k=3).withColumn("x", F.lit(1)).collect() == []
