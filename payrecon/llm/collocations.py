@@ -1,16 +1,17 @@
 """Phrase collocations by HAT-trie counting.
 
 Words are the runs between spaces and tabs of a text in lower case (A-Z only), cut into pieces at ``. , ; : ! ?`` and line
-breaks; phrases are 1 to 3 neighbouring words of a piece, counted per language, overlaps included. Two passes over the texts:
-
-1. *Bounds.* Single words and word pairs are counted by 64-bit hash. A hash's count is at least the phrase's, so hashes seen
-   ``min_count`` times hold all phrases that are. They become a Bloom filter whose size follows their number up to 32 MB; a
-   fuller filter lets more through and loses nothing.
-2. *Counts.* Phrases that may reach ``min_count`` (a triple only if both its pairs may) are counted exactly, by their words, in a
-   HAT-trie per task: a shallow trie of word ids with a node per language, whose leaves are hash containers from packed ids of the
-   remaining words to counts. A container that outgrows ``BURST`` entries bursts into a node with a container per next word.
-   Ids are local to a task and stand for real words. When a trie holds ``MAX_ENTRIES`` entries, its largest subtrees are
-   spilled whole, each as one run of rows sorted by its words, until half is left; so memory is bounded on any input. The
+breaks; phrases are 1 to 3 neighbouring words of a piece, counted per language, overlaps included. Three passes over the texts:
+
+1. *Bounds.* Single words and word pairs are counted by 40-bit hash, and then triples of which both pairs may be frequent. A hash's count is at least the phrase's, so hashes seen
+   ``min_count`` times hold all phrases that are. Counts travel as packed arrays, one per task and range of hashes, and are merged
+   range by range. The hashes become a Bloom filter whose size follows their number up to 32 MB; a fuller filter lets more
+   through and loses nothing, and so do hashes that agree.
+2. *Counts.* Phrases that may reach ``min_count`` are counted exactly, by their words, in a
+   HAT-trie per task: a shallow trie over the bits of word ids with a root per language, whose leaves are hash containers from
+   packed ids of the remaining words to counts. A container that outgrows ``BURST`` entries bursts into a node with a container
+   per range of next words. Ids are local to a task and stand for real words. When the tries hold ``MAX_ENTRIES`` entries, the
+   largest subtrees are spilled whole, together as one run of rows sorted by their words, until half is left; so memory is bounded on any input. The
    runs are merged per prefix partition: rows go by a hash of language and first two words, and a sum over the runs
    of a partition gives the counts, already partitioned for what follows. A hot prefix brings at most one row per spill
    and distinct phrase.
@@ -29,21 +30,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from payrecon.llm.common import U64, Bloom, _BYTE_HASH, _powers, distinct, mix64, staged, sub_batches, utf8
+from payrecon.llm.common import U64, Bloom, _BYTE_HASH, _powers, distinct, mix64, staged, sub_batches, utf8, whole_groups
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 ID_BITS = 21
-BURST = 4096
-MAX_ENTRIES = 1_000_000
+HASH_BITS = 40
+DIGIT = 7
+BURST = 8192
+MAX_ENTRIES = 800_000
 #: Words and bytes of words that a task numbers before it spills all and numbers anew. A slice brings less than 2**20 words.
 MAX_WORDS = 1_000_000
 MAX_WORD_BYTES = 64 << 20
 #: Pairs of (hash, count) that pass 1 holds before it merges equal ones, and hands on what is left.
-HELD = 3_000_000
+HELD = 1_500_000
 MAX_FILTER_BITS = 28
+#: Parts of a language that are ranked on their own first.
+PARTS = 8
 
 _GAP, _BREAK = 1, 2
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -125,6 +132,14 @@ def _pair_hash(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _triple_hash(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Hash of each word with the two before it; the first two entries mean nothing."""
+    out = np.zeros(len(words), dtype=U64)
+    if len(words) > 2:
+        out[2:] = mix64(((words[:-2] * _PAIR + words[1:-1]) * _PAIR + words[2:]) ^ mix64(langs[2:] + U64(3)))
+    return out
+
+
 def _with_langs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(languages, language index of each text, bytes, offsets) of batches of bounded size."""
     for batch in sub_batches(batches):
@@ -142,18 +157,57 @@ def _merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[cut], np.add.reduceat(n, cut)
 
 
-def _bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, h, n): hashes of words and pairs with counts, equal ones merged as far as memory allows; with lang set and h
-    null, the number of words of a language."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, totals = 0, {}
+def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 and their counts: differences and counts byte by byte, so that their zeros lie together."""
+    both = np.concatenate([np.diff(h, prepend=U64(0)), n.astype(U64)]).astype("<u4")
+    return both.view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def rows(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(h), 50_000):
-            part = h[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(n[at:at + 50_000].astype(np.int64))], ["lang", "h", "n"])
 
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(U64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
+_PACKED = "key int, lang string, n long, data binary"
+
+
+class Held:
+    """Hashes with counts, equal ones merged as far as memory allows; gives rows packed by range (``key``)."""
+
+    def __init__(self, range_bits: int):
+        self.below, self.parts, self.size = HASH_BITS - range_bits, [], 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h = np.sort(hashes >> U64(64 - HASH_BITS))
+        if not len(h):
+            return
+        cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        self.parts.append((h[cut], np.diff(np.r_[cut, len(h)]).astype(np.int32)))
+        self.size += len(cut)
+        if self.size >= HELD:
+            h, n = _merged(*map(np.concatenate, zip(*self.parts)))
+            self.parts, self.size = [(h, n)], len(h)
+            if self.size >= HELD // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        h, n = _merged(*map(np.concatenate, zip(*self.parts)))
+        self.parts, self.size = [], 0
+        keys = (h >> U64(self.below)).astype(np.int32)
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        low = h & U64((1 << self.below) - 1)
+        data = [_packed(low[a:b], n[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[cut]), pa.nulls(len(cut), pa.string()), pa.nulls(len(cut), pa.int64()), pa.array(data, pa.binary())],
+            ["key", "lang", "n", "data"])
+
+
+def _bounds(batches: Iterable[pa.RecordBatch], range_bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed counts of words and pairs, and the number of words of each language, under negative keys."""
+    held, totals = Held(range_bits), {}
     for names, lang_of, data, offsets in _with_langs(batches):
         keys = np.array([_lang_key(x) for x in names], dtype=U64)
         tail = np.zeros(0, U64)
@@ -165,21 +219,65 @@ def _bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = np.concatenate([tail, own])
             pairs = _pair_hash(joined, np.concatenate([langs[:1]] * len(tail) + [langs]))[len(tail):][s.follows]
             tail = own[-1:]
-            h = np.sort(np.concatenate([_word_hash(own, langs), pairs]))
-            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            held.append((h[cut], np.diff(np.r_[cut, len(h)]).astype(np.int32)))
-            size += len(cut)
-            if size >= HELD:
-                h, n = _merged(*map(np.concatenate, zip(*held)))
-                held, size = [(h, n)], len(h)
-                if size >= HELD // 2:
-                    yield from rows(h, n)
-                    held, size = [], 0
-    if held:
-        yield from rows(*_merged(*map(np.concatenate, zip(*held))))
+            yield from held.add(np.concatenate([_word_hash(own, langs), pairs]))
+    yield from held.rest()
     if totals:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals)), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["lang", "h", "n"])
+            [pa.array([-1 - _lang_key(x) % (1 << range_bits) for x in totals], pa.int32()), pa.array(list(totals)),
+             pa.array(list(totals.values()), pa.int64()), pa.nulls(len(totals), pa.binary())], ["key", "lang", "n", "data"])
+
+
+def _wanted_pairs(h: np.ndarray, langs: np.ndarray, follows: np.ndarray, wanted: Bloom) -> tuple[np.ndarray, np.ndarray]:
+    """Words that end a pair that may be frequent, and those that end a triple whose pairs both may be."""
+    two = follows.copy()
+    two[0] = False
+    two[two] = wanted.has(_filter_key(_pair_hash(h, langs)[two] >> U64(64 - HASH_BITS)))
+    three = two.copy()
+    three[1:] &= two[:-1]
+    three[0] = False
+    return two, three
+
+
+def _triple_bounds(batches: Iterable[pa.RecordBatch], range_bits: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """Packed counts of triples whose pairs both may be frequent."""
+    held = Held(range_bits)
+    for names, lang_of, data, offsets in _with_langs(batches):
+        keys = np.array([_lang_key(x) for x in names], dtype=U64)
+        carried = None
+        for s in slices(data, offsets):
+            h, lang, follows = s.hashes(), lang_of[s.text_of], s.follows
+            new = len(h)
+            if carried:
+                h, follows, lang = (np.concatenate(x) for x in zip(carried, (h, follows, lang)))
+            carried = h[-2:], follows[-2:], lang[-2:]
+            three = _wanted_pairs(h, keys[lang], follows, wanted)[1]
+            three[:len(h) - new] = False
+            yield from held.add(_triple_hash(h, keys[lang])[three])
+    yield from held.rest()
+
+
+def _bounded(batches: Iterable[pa.RecordBatch], min_count: int, range_bits: int) -> Iterator[pa.RecordBatch]:
+    """(lang, h, n): filter keys of the hashes of each range that are counted often enough, and the totals of the languages."""
+    for table in whole_groups(batches, "key"):
+        keys = table.column("key").to_numpy()
+        data, langs, counts = (table.column(c).to_pylist() for c in ("data", "lang", "n"))
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+        for a, b in zip(cut, [*cut[1:], len(keys)]):
+            if keys[a] < 0:
+                names = sorted(set(langs[a:b]))
+                of = [sum(n for x, n in zip(langs[a:b], counts[a:b]) if x == name) for name in names]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.int64()), pa.array(of, pa.int64())], ["lang", "h", "n"])
+                continue
+            h, n = _merged(*map(np.concatenate, zip(*map(_unpacked, data[a:b]))))
+            h, n = h[n >= min_count], n[n >= min_count]
+            h = _filter_key(h | U64(int(keys[a]) << (HASH_BITS - range_bits)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "h", "n"])
+
+
+def _filter_key(h: np.ndarray) -> np.ndarray:
+    """What stands for a 40-bit hash in the filter."""
+    return mix64(h)
 
 
 # -- pass 2: the trie ------------------------------------------------------------------------------------------
@@ -187,27 +285,28 @@ def _bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class HatTrie:
     """Counts of sequences of up to three word ids.
 
-    A node is a dict from word id to child; a leaf is a container, a dict from the remaining ids, packed into one integer, to
-    counts. Sequences of different lengths live in different tries, so every path has the same depth.
+    The ids of a sequence are packed into one integer. A leaf is a hash container, a dict from what is left of that integer to
+    counts; a node is a dict from the next ``DIGIT`` bits to subtrees, so a word id takes three steps and a container is
+    shared by the sequences of a range of ids until it bursts. Sequences of different lengths live in different tries.
     """
 
     def __init__(self, depth: int, burst: int = BURST):
-        self.depth, self.burst, self.size = depth, burst, 0
+        self.bits, self.burst, self.size = depth * ID_BITS, burst, 0
         self.root: Leaf | Node = Leaf()
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """``keys``: packed ids, ascending and distinct."""
-        self.root = self._add(self.root, keys, counts, self.depth)
+        self.root = self._add(self.root, keys, counts, self.bits)
 
     def _add(self, at: Leaf | Node, keys: np.ndarray, counts: np.ndarray, left: int) -> Leaf | Node:
         if isinstance(at, Node):
-            bits = ID_BITS * (left - 1)
-            lead = keys >> bits
+            left -= DIGIT
+            lead = keys >> left
             cuts = np.flatnonzero(lead[1:] != lead[:-1]) + 1
-            rest = keys & ((1 << bits) - 1)
+            rest = keys & ((1 << left) - 1)
             begin = 0
-            for word, end in zip(lead[np.r_[0, cuts]].tolist(), [*cuts.tolist(), len(keys)]):
-                at[word] = self._add(at.get(word) or Leaf(), rest[begin:end], counts[begin:end], left - 1)
+            for digit, end in zip(lead[np.r_[0, cuts]].tolist(), [*cuts.tolist(), len(keys)]):
+                at[digit] = self._add(at.get(digit) or Leaf(), rest[begin:end], counts[begin:end], left)
                 begin = end
             return at
         before = len(at)
@@ -215,46 +314,42 @@ class HatTrie:
         for key, n in zip(keys.tolist(), counts.tolist()):
             at[key] = get(key, 0) + n
         self.size += len(at) - before
-        return self._burst(at, left) if len(at) > self.burst and left > 1 else at
+        return self._burst(at, left) if len(at) > self.burst and left > DIGIT else at
 
     def _burst(self, leaf: Leaf, left: int) -> Node:
-        bits = ID_BITS * (left - 1)
-        node, mask = Node(), (1 << bits) - 1
+        left -= DIGIT
+        node, mask = Node(), (1 << left) - 1
         for key, n in leaf.items():
-            word = key >> bits
-            child = node.get(word)
+            digit = key >> left
+            child = node.get(digit)
             if child is None:
-                child = node[word] = Leaf()
+                child = node[digit] = Leaf()
             child[key & mask] = n
-        for word, child in node.items():
-            if len(child) > self.burst and left > 2:
-                node[word] = self._burst(child, left - 1)
+        for digit, child in node.items():
+            if len(child) > self.burst and left > DIGIT:
+                node[digit] = self._burst(child, left)
         return node
 
-    def _entries(self, at: Leaf | Node, lead: int, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _subtrees(self, at: Leaf | Node, lead: int, left: int, parent: Node | None, digit: int) -> Iterator[tuple]:
+        """(size, container, the bits before it, bits left, its parent and place there) of every container."""
         if isinstance(at, Node):
-            for word, child in at.items():
-                yield from self._entries(child, lead << ID_BITS | word, left - 1)
-        elif at:
-            keys = np.fromiter(at, np.int64, len(at)) | (lead << (ID_BITS * left))
-            yield keys, np.fromiter(at.values(), np.int64, len(at))
+            for d, child in at.items():
+                yield from self._subtrees(child, lead << DIGIT | d, left - DIGIT, at, d)
+        else:
+            yield len(at), at, lead, left, parent, digit
 
     def spill(self, keep: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take whole subtrees out, largest first, until ``keep`` entries are left; each gives (keys, counts)."""
-        if isinstance(self.root, Leaf) or not keep:
-            subtrees, left, self.root = [(0, self.root)], self.depth, Leaf()
-        else:
-            subtrees, left = [(word, self.root[word]) for word in sorted(self.root, key=lambda w: -_weight(self.root[w]))], self.depth - 1
-        for word, subtree in subtrees:
-            if keep and self.size <= keep:
+        """Take whole containers out, largest first, until ``keep`` entries are left; each gives (keys, counts)."""
+        for size, leaf, lead, left, parent, digit in sorted(
+                self._subtrees(self.root, 0, self.bits, None, 0), key=lambda subtree: -subtree[0]):
+            if not size or keep and self.size <= keep:
                 break
-            parts = list(self._entries(subtree, word, left))
-            if keep and isinstance(self.root, Node):
-                del self.root[word]
-            if parts:
-                keys, counts = (np.concatenate(x) for x in zip(*parts))
-                self.size -= len(keys)
-                yield keys, counts
+            if parent is None:
+                self.root = Leaf()
+            else:
+                del parent[digit]
+            self.size -= size
+            yield np.fromiter(leaf, np.int64, size) | (lead << left), np.fromiter(leaf.values(), np.int64, size)
 
 
 class Leaf(dict):
@@ -262,11 +357,49 @@ class Leaf(dict):
 
 
 class Node(dict):
-    """A trie node: next word id to subtree."""
-
-
-def _weight(at: Leaf | Node) -> int:
-    return sum(map(_weight, at.values())) if isinstance(at, Node) else len(at)
+    """A trie node: next bits of a word id to subtree."""
+
+
+class Dictionary:
+    """Words numbered in the order in which they come. They are found by hash and then compared, so a number stands for one word."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.hashes, self.ids = np.zeros(0, U64), np.zeros(0, np.int64)  # ascending hashes, and the number of each
+        self.odd: dict[str, int] = {}  # words whose hash another word has
+        self._rank: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def _append(self, words: pa.Array) -> np.ndarray:
+        first = len(self.words)
+        self.words, self._rank = pa.concat_arrays([self.words, words]), None
+        return np.arange(first, len(self.words))
+
+    def number(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words; new ones are numbered on."""
+        values, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != values) if len(self.hashes) else np.arange(len(values))
+        if len(new):
+            numbers = self._append(words.take(pa.array(first[new])))
+            where = np.searchsorted(self.hashes, values[new])
+            self.hashes, self.ids = np.insert(self.hashes, where, values[new]), np.insert(self.ids, where, numbers)
+        out = self.ids[np.searchsorted(self.hashes, values)][back]
+        other = np.flatnonzero(~pc.equal(self.words.take(pa.array(out)), words).to_numpy(zero_copy_only=False))
+        for i, word in zip(other.tolist(), words.take(pa.array(other)).to_pylist()):
+            if word not in self.odd:
+                self.odd[word] = int(self._append(pa.array([word], pa.large_string()))[0])
+            out[i] = self.odd[word]
+        return out
+
+    def rank(self) -> np.ndarray:
+        """The place of each number's word among all words in order; made again when words were added."""
+        if self._rank is None:
+            self._rank = np.empty(len(self.words), dtype=np.int64)
+            self._rank[pc.sort_indices(self.words).to_numpy()] = np.arange(len(self.words))
+        return self._rank
 
 
 class Counter:
@@ -274,22 +407,9 @@ class Counter:
 
     def __init__(self, max_entries: int = MAX_ENTRIES, max_words: int = MAX_WORDS, burst: int = BURST):
         self.tries: dict[tuple[str, int], HatTrie] = {}
-        self.ids: dict[str, int] = {}
-        self.n_bytes = 0
+        self.words = Dictionary()
         self.max_entries, self.max_words, self.burst = max_entries, max_words, burst
 
-    def number(self, words: pa.Array) -> np.ndarray:
-        """Ids of an array of words, new ones numbered on."""
-        coded = words.dictionary_encode()
-        ids, known = self.ids, []
-        for word in coded.dictionary.to_pylist():
-            number = ids.get(word)
-            if number is None:
-                number = ids[word] = len(ids)
-                self.n_bytes += len(word)
-            known.append(number)
-        return np.array(known, dtype=np.int64)[coded.indices.to_numpy()]
-
     def add(self, lang: str, k: int, keys: np.ndarray) -> None:
         keys = np.sort(keys)
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -300,9 +420,9 @@ class Counter:
 
     def relieve(self) -> Iterator[pa.RecordBatch]:
         """Spill if the dictionary or the tries are full."""
-        if len(self.ids) > self.max_words or self.n_bytes > MAX_WORD_BYTES:
+        if len(self.words) > self.max_words or self.words.words.nbytes > MAX_WORD_BYTES:
             yield from self.all()
-            self.ids, self.n_bytes = {}, 0
+            self.words = Dictionary()
         size = sum(t.size for t in self.tries.values())
         while size > self.max_entries:
             (lang, k), trie = max(self.tries.items(), key=lambda item: item[1].size)
@@ -316,27 +436,23 @@ class Counter:
         self.tries = {}
 
     def _runs(self, lang: str, k: int, trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
-        words, rank = None, None
+        spilled = list(trie.spill(keep))
+        if not spilled:
+            return
+        keys, counts = (np.concatenate(x) for x in zip(*spilled))
+        words, rank = self.words.words, self.words.rank()
         mask = (1 << ID_BITS) - 1
-        for keys, counts in trie.spill(keep):
-            if words is None:
-                words = np.array(list(self.ids), dtype=object)
-                order = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
-                rank = np.empty(len(words), dtype=np.int64)
-                rank[order] = np.arange(len(words))
-                arrow = pa.array(words, pa.string())
-            columns = [keys >> (ID_BITS * (k - 1 - j)) & mask for j in range(k)]
-            packed = reduce(lambda a, c: a << ID_BITS | rank[c], columns[1:], rank[columns[0]])
-            order = np.argsort(packed)
-            for at in range(0, len(order), 20_000):
-                part = order[at:at + 20_000]
-                own = [arrow.take(pa.array(c[part])) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(lang), len(part)), *own, *[pa.nulls(len(part), pa.string())] * (3 - k), pa.array(counts[part])],
-                    ["lang", "w1", "w2", "w3", "n"])
-
-
-def _phrases(batches: Iterable[pa.RecordBatch], wanted: Bloom, counter: Counter) -> Iterator[pa.RecordBatch]:
+        columns = [keys >> (ID_BITS * (k - 1 - j)) & mask for j in range(k)]
+        order = np.argsort(reduce(lambda a, c: a << ID_BITS | rank[c], columns[1:], rank[columns[0]]))
+        for at in range(0, len(order), 20_000):
+            part = order[at:at + 20_000]
+            own = [words.take(pa.array(c[part])).cast(pa.string()) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang), len(part)), *own, *[pa.nulls(len(part), pa.string())] * (3 - k), pa.array(counts[part])],
+                ["lang", "w1", "w2", "w3", "n"])
+
+
+def _phrases(batches: Iterable[pa.RecordBatch], wanted: Bloom, triples: Bloom, counter: Counter) -> Iterator[pa.RecordBatch]:
     """(lang, w1, w2, w3, n): runs of exact counts of phrases that may be frequent."""
     for names, lang_of, data, offsets in _with_langs(batches):
         keys = np.array([_lang_key(x) for x in names], dtype=U64)
@@ -351,13 +467,9 @@ def _phrases(batches: Iterable[pa.RecordBatch], wanted: Bloom, counter: Counter)
             carried = strings[-2:], h[-2:], follows[-2:], lang[-2:]
             yield from counter.relieve()
             langs = keys[lang]
-            one = wanted.has(_word_hash(h, langs))
-            two = follows.copy()
-            two[0] = False
-            two[two] = wanted.has(_pair_hash(h, langs)[two])
-            three = two.copy()
-            three[1:] &= two[:-1]
-            three[0] = False
+            one = wanted.has(_filter_key(_word_hash(h, langs) >> U64(64 - HASH_BITS)))
+            two, three = _wanted_pairs(h, langs, follows, wanted)
+            three[three] = triples.has(_filter_key(_triple_hash(h, langs)[three] >> U64(64 - HASH_BITS)))
             one[:old] = two[:old] = three[:old] = False
             used = one.copy()
             used[:-1] |= two[1:]
@@ -368,7 +480,7 @@ def _phrases(batches: Iterable[pa.RecordBatch], wanted: Bloom, counter: Counter)
             if not len(places):
                 continue
             ids = np.zeros(len(h), dtype=np.int64)
-            ids[places] = counter.number(strings.take(pa.array(places)))
+            ids[places] = counter.words.number(strings.take(pa.array(places)), h[places])
             for i in distinct(lang[places]).tolist():
                 here = lang == i
                 p = np.flatnonzero(one & here)
@@ -389,14 +501,24 @@ def phrase_counts(docs: DataFrame, min_count: int = 10, **limits: int) -> tuple[
     """(phrases, totals): lang, w1, w2, w3 (null in shorter phrases) and n of every phrase of up to three words that occurs
     ``min_count`` times in its language; lang and the number of its words."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bounds = staged(
-        rows.mapInArrow(_bounds, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= min_count) | F.col("h").isNull()), "phrase-bounds")
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_bits = min(16, max(HASH_BITS - 32, (4 * shuffles - 1).bit_length()))
+    context = rows.sparkSession.sparkContext
+
+    def settled(packed: DataFrame) -> DataFrame:
+        return staged(packed.repartition(shuffles, "key").sortWithinPartitions("key").mapInArrow(
+            lambda it: _bounded(it, min_count, range_bits), "lang string, h long, n long"), "phrase-bounds")
+
+    def kept(bounds: DataFrame) -> Broadcast:
+        frequent = bounds.where("h IS NOT NULL")
+        bits = min(MAX_FILTER_BITS, max(16, (frequent.count() * 12).bit_length()))
+        return context.broadcast(Bloom.of(frequent, "h", bits))
+
+    bounds = settled(rows.mapInArrow(lambda it: _bounds(it, range_bits), _PACKED))
     totals = bounds.where("h IS NULL").select("lang", F.col("n").alias("total"))
-    frequent = bounds.where("h IS NOT NULL")
-    bits = min(MAX_FILTER_BITS, max(16, (frequent.count() * 12).bit_length()))
-    shared = rows.sparkSession.sparkContext.broadcast(Bloom.of(frequent, "h", bits))
-    runs = rows.mapInArrow(lambda it: _phrases(it, shared.value, Counter(**limits)), "lang string, w1 string, w2 string, w3 string, n long")
+    wanted = kept(bounds)
+    triples = kept(settled(rows.mapInArrow(lambda it: _triple_bounds(it, range_bits, wanted.value), _PACKED)))
+    runs = rows.mapInArrow(lambda it: _phrases(it, wanted.value, triples.value, Counter(**limits)), "lang string, w1 string, w2 string, w3 string, n long")
     merged = runs.repartition("lang", "w1", "w2").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return staged(merged, "phrases"), totals
 
@@ -436,7 +558,10 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, cover: i
                               F.col(f"r{k}").alias("r")) for k in (1, 2)])
     triples = triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("n").alias("a"), cuts.alias("c")).select(
         "lang", "phrase", "a", "c.l", "c.r", "c.score")
-    # Spark keeps the first ``top`` of every task before the rows of a language meet.
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = pairs.union(triples).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # The first of every part of a language come together, and Spark keeps the first ``top`` of every task before rows meet; so
+    # what one task gets of a language is bounded by the parts, however many candidates there are.
+    order = F.desc("score"), F.desc("a"), "phrase"
+    parts = pairs.union(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.drop("rank", "part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
