@@ -137,6 +137,40 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_links(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 300])
+def test_a_group_of_two_thousand_near_copies(spark, monkeypatch, block):
+    """Every link of a hot group is counted, and up to a block's size its members travel once per band."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = [near(5, 200, 1 + (s % 7 == 0) * 3).replace("new", f"new{s}x") for s in range(2000)]
+    sets = [shingles(t) for t in texts]
+    place = {g: i for i, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), len(place)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        held[i, [place[g] for g in own]] = 1
+    shared, sizes = held @ held.T, held.sum(1)
+    linked = shared >= 0.8 * (sizes[:, None] + sizes[None, :] - shared)  # with itself too; the groups are cliques
+    seen = []
+    monkeypatch.setattr(jaccard, "staged", lambda df, name, real=jaccard.staged: seen.append((name, real(df, name))) or seen[-1][1])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.links(table(spark, texts)).collect()}
+    assert got == {i: (int(own.argmax()), int(own.sum()) - 1) for i, own in enumerate(linked)} and linked.sum(1).max() > 1500
+    met = dict(seen)["candidates"]
+    assert met.count() <= jaccard.BANDS * len(texts) * -(-len(texts) // block)
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    kept = jaccard.keep_one(table(spark, [(1, a), (1, a), (5, a), (5, b), (None, a), (None, b), (7, near(1, 80, 1))]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b)]
+    nulls = jaccard.keep_one(table(spark, [(None, a), (None, a), (None, b), (None, None)]))
+    assert sorted(map(str, (r.text for r in nulls.collect()))) == sorted(map(str, [a, b, None]))
+
+
+def test_pairs_of_a_large_group_come_in_parts():
+    for n in (1, 2, 3, 50):
+        got = [p for i, j in jaccard._some_pairs(7, n, 60) for p in zip(i.tolist(), j.tolist())]
+        assert got == [(7 + i, 7 + j) for i in range(n) for j in range(i + 1, n)]
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = jaccard.least_matches(0.8, 1e-6)
     assert least == sorted(least) and 50 <= least[-1] <= 64
@@ -211,6 +245,27 @@ def unlike(seed, n):
     return " ".join(f"w{seed}x{i}" for i in range(n))
 
 
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
+def test_passages_equal_brute_force_on_random_texts(spark, monkeypatch, hot):
+    """Passages of all lengths around the least, at ends of texts, cut into others, in sorted groups and in divided ones."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = np.random.default_rng(3)
+    shared = [prose(900 + i, 90).split() for i in range(6)]
+    texts = []
+    for i in range(60):
+        own = unlike(i, int(rng.integers(0, 30))).split()
+        for _ in range(int(rng.integers(1, 4))):
+            one = shared[rng.integers(6)]
+            a = int(rng.integers(0, 40))
+            own += one[a:a + int(rng.integers(44, 60))] + unlike(1000 + i, int(rng.integers(0, 3))).split()
+        texts.append(" ".join(own))
+    expected = covered(list(enumerate(texts)), 50)
+    found = suffixes.passages(table(spark, texts)).collect()
+    assert words_found(found) == expected and len(expected) > 30
+    for r in found:
+        assert len(tokens(texts[r.doc_id][r.start:r.end])) == r.n_words >= 50 and r.other_doc != r.doc_id
+
+
 def test_suffixes_of_a_lead_shared_by_many_meet_wherever_their_documents_lie(spark):
     last = [unlike(b + 300_000 if n in (7, 193) else b * 1000 + n, 12) for b in range(4) for n in range(200)]
     texts = [unlike(i, 30) + " " + prose(700 + i // 200, 40) + " " + x + " " + unlike(i + 200_000, 30) for i, x in enumerate(last)]
