@@ -229,3 +229,42 @@ def test_hot_bank_line_is_split_at_run_time(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(r["n"] for r in rows if r["k"] == "t") == n and sum(r["n"] for r in rows if r["k"] == "u") == 1
     assert len([r for r in rows if r["k"] == "t"]) > 1
+
+
+def blank_sides(spark, n, m):
+    """Transactions and lines without codes at one amount: every pair matches. One more transaction meets nothing."""
+    tx = spark.range(n + 1).select(
+        F.lit("").alias("final_rrn"), F.concat(F.lit("a"), "id").alias("final_authorization_code"),
+        F.when(F.col("id") < n, 10).otherwise(99).cast("decimal(18,2)").alias("amount"), F.col("id").alias("k"))
+    lines = spark.range(m).select(F.lit("").alias("rrn"), F.concat(F.lit("b"), "id").alias("authorization_code"),
+                                  F.lit("10.00").cast("decimal(18,2)").alias("transaction_amount"))
+    return tx, build(spark, bank=[])["bank"].unionByName(lines, allowMissingColumns=True)
+
+
+def test_pairs_are_not_staged_and_large_groups_are_cut(spark):
+    """Staged frames have a row per signature, whatever the pairs; a group cut into blocks gives every pair once."""
+    tx, bank = blank_sides(spark, 40, 50)
+    sizes = []
+    real = rc.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rc, "staged", lambda df, name: sizes.append(real(df, name)) or sizes[-1])
+        patch.setattr(rc, "BLOCK", 8)
+        rows = rc.reconcile(tx, bank).select("k", "bank_auth_code", rc.MATCH_TYPE).collect()
+    assert [df.count() for df in sizes] == [41, 41]
+    label = rc.TIERS[1].label
+    want = [(k, f"b{i}", label) for k in range(40) for i in range(50)] + [(40, None, None)]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+
+
+def test_unmatched_rows_need_no_pairs(spark):
+    import contextlib
+    import io
+
+    tx, bank = blank_sides(spark, 3, 3)
+    df = rc.reconcile(tx, bank)
+    for null, wanted in ((True, 1), (False, 9)):
+        part = df.where(F.col(rc.MATCH_TYPE).isNull() if null else F.col(rc.MATCH_TYPE).isNotNull())
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            part.explain("simple")
+        assert part.count() == wanted and ("bank_rrn#" in out.getvalue().replace("null AS bank_rrn#", "")) == (not null)
+        assert "Union" not in out.getvalue() or not null

@@ -131,3 +131,17 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in loaded:
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_files_that_compress_well_are_not_broadcast(spark, tmp_path):
+    """A table of constant columns is a few kilobytes on disk and tens of megabytes in memory; the driver never gets it."""
+    path = str(tmp_path / "bank")
+    spark.range(200_000, numPartitions=1).select(
+        F.lit(1).alias("k"), *[F.lit("x" * 200).alias(f"c{i}") for i in range(3)]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    df = spark.range(10).join(rows, F.col("id") == F.col("k")).groupBy().agg(F.max("c0"), F.max("c1"), F.max("c2"))
+    assert df.collect()[0][0] == "x" * 200
+    # As it ran, the large side is never the one that is broadcast.
+    text = plan(df).split("Initial Plan")[0]
+    for chunk in text.split("BroadcastExchange")[1:]:
+        assert "FileScan" not in chunk.split("+- ")[-1] or "c0" not in chunk
