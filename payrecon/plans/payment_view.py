@@ -98,9 +98,16 @@ def stage_funnel(tables: dict[str, DataFrame], options: QueryOptions = SCRIPT) -
     """Rows per stage, to see where an empty result comes from.
 
     The linked rows are labelled once with the last stage they reach and staged; the view and its matches are counted from the
-    signatures of the successful ones, without making them.
+    signatures of the successful ones, without making them. As in :func:`transactions`, group facts are taken before linking, so
+    the gateways are linked once.
     """
-    linked = lc.auth_capture_groups(unify(tables, options.flavour, options.date_range))
+    keyed = g.gateway_rows(tables, options.flavour, g.keyed_gateways())
+    loose = g.gateway_rows(tables, options.flavour, g.payment_only_gateways())
+    links = g.order_links(tables["metabase"], tables["portal"], options.flavour, options.date_range)
+    keyed_facts, loose_facts = lc.family_facts(keyed, loose, links)
+    linked = g.union_families(
+        g.attach_links(lc.attach_facts(keyed, keyed_facts, null_safe=False), links, by_order=True),
+        g.attach_links(lc.attach_facts(loose, loose_facts), links, by_order=False))
     rows = lc.with_outcome(linked, options.partial_refunds)
     merged = F.coalesce(~(F.col("is_auth") & (F.col("has_auth_in_group") == 1) & (F.col("has_capture_in_group") == 1)), F.lit(False))
     narrow = [*lc.GROUP, "status", "amount", "transaction_date", *lc.ANALYSIS_COLUMNS[:2]]

@@ -145,3 +145,28 @@ def test_files_that_compress_well_are_not_broadcast(spark, tmp_path):
     text = plan(df).split("Initial Plan")[0]
     for chunk in text.split("BroadcastExchange")[1:]:
         assert "FileScan" not in chunk.split("+- ")[-1] or "c0" not in chunk
+
+
+def staged_plan(module, name, run) -> str:
+    """The plan of the frame that is staged under a name."""
+    texts, real = {}, module.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(module, "staged", lambda df, n: texts.setdefault(n, plan(df)) and real(df, n))
+        run()
+    return texts[name]
+
+
+def test_funnel_links_the_gateways_once(spark):
+    text = staged_plan(pv, "funnel", lambda: pv.stage_funnel(build(spark, **linked(1))))
+    assert text.count("Join") <= 6
+
+
+def test_groups_that_meet_are_summed_where_the_join_left_them(small):
+    from payrecon.operators import reconcile as rc
+
+    text = staged_plan(rc, "met", lambda: pv.match_summary(build(small, **linked(1))))
+    assert "Exchange" not in text.split("SortMergeJoin")[0]
+
+
+def test_shuffles_begin_with_many_partitions(spark):
+    assert ", 1000)" in plan(spark.range(10).groupBy((F.col("id") % 7).alias("k")).count())
