@@ -40,17 +40,18 @@ CONTEXT = 64
 MIN_WORDS, MIN_IDENTITY = 13, 0.8
 _BASE = 0xA24BAED4963EE407
 _FILTER_BITS = 25
+#: Text of which the windows are in memory at once: some 40 bytes for each byte of text.
+BATCH_BYTES = 1 << 20
 
 
-def seeds(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, positions) by mask, of all its windows that lie in one text."""
+def seeds(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions) by mask, of all its windows that lie in one text; one mask's at a time."""
     n = len(w.hashes)
     end = np.repeat(w.offsets[1:], np.diff(w.offsets))
     power, scaled = 1, []
     for _ in range(SPAN):
         scaled.append(w.hashes * U64(power))
         power = power * _BASE % (1 << 64)
-    out = []
     for m, mask in enumerate(MASKS):
         starts = max(0, n - len(mask) + 1)
         total = np.full(starts, m, dtype=U64)
@@ -58,12 +59,11 @@ def seeds(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
             if read == "1":
                 total += scaled[j][j:j + starts]
         at = np.flatnonzero(np.arange(starts) + len(mask) <= end[:starts])
-        out.append((mix64(total[at]), at))
-    return out
+        yield mix64(total[at]), at
 
 
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches):
+    for batch in sub_batches(batches, limit=BATCH_BYTES):
         w = words(*utf8(batch.column("text")))
         for hashes, at in seeds(w):
             text_of = w.text_of[at]
@@ -83,7 +83,7 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regions(batches: Iterable[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
     """Stretches of a document around windows that may hit: their words, and the hashes with their places in it."""
-    for batch in sub_batches(batches):
+    for batch in sub_batches(batches, limit=BATCH_BYTES):
         data, offsets = utf8(batch.column("text"))
         w = words(data, offsets)
         hits = [(h[k], at[k]) for h, at in seeds(w) for k in [np.flatnonzero(wanted.has(h))]]

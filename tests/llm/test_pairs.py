@@ -1,14 +1,16 @@
 """Operators on overlaps between texts: decontamination, Jaccard join, suffix array, chunks."""
 
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from payrecon.llm import chunks, decontaminate, jaccard, suffixes
-from payrecon.llm.common import mix64
+from payrecon.llm.common import Bloom, mix64
 from tests.llm.edges import awkward, nothing, prose, table
 
 WORD = re.compile("[A-Za-z0-9_\u0080-\U0010ffff]+")
@@ -334,3 +336,18 @@ def test_repeats_in_awkward_tables(spark, operator):
 def test_suffixes_take_no_shorter_passages(spark):
     with pytest.raises(ValueError):
         suffixes.passages(nothing(spark), 30)
+
+
+def test_memory_of_windows_is_bounded_by_the_batch():
+    """A worker holds the windows of one mask and of a megabyte of text at a time, however many texts travel together."""
+    words = np.random.default_rng(5).integers(0, 1 << 40, 400_000)
+    texts = [" ".join(f"{x:x}" for x in words[i:i + 400]) for i in range(0, len(words), 400)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    nothing_wanted = Bloom(np.zeros(1 << 10, dtype=np.uint64))
+    list(decontaminate._regions([batch.slice(0, 10)], nothing_wanted))
+    tracemalloc.start()
+    try:
+        assert list(decontaminate._regions([batch], nothing_wanted)) == []
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
