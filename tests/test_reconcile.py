@@ -267,3 +267,49 @@ def test_unmatched_rows_need_no_pairs(spark):
         with contextlib.redirect_stdout(io.StringIO()) as out:
             part.explain("simple")
         assert part.count() == wanted and ("Generate explode" in out.getvalue()) == (not null)
+
+
+def test_derived_columns_are_those_of_the_transaction(spark):
+    """Columns derived inside are the columns derived from the result: of pairs, of large groups and of unmatched rows."""
+    def derive(df):
+        return df.withColumn("twice", F.concat("final_authorization_code", F.lit("/"), "final_authorization_code"))
+
+    tx, bank = blank_sides(spark, 6, 7)
+    tx = tx.unionByName(tx.where("k = 1").withColumn("final_authorization_code", F.lit(None).cast("string")))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rc, "BLOCK", 4)
+        got, want = rc.reconcile(tx, bank, derive=derive), rc.reconcile(tx, bank)
+        names = [*tx.columns, "twice", *rc.BANK_COLUMNS, rc.MATCH_TYPE]
+        assert got.columns == names
+        rows = [sorted(map(tuple, df.select(*names).collect()), key=str) for df in (got, derive(want))]
+    assert rows[0] == rows[1] and len(rows[0]) == 7 * 7 + 1
+    none = [rc.reconcile(tx, bank, (), derive=derive).select(*names), derive(rc.reconcile(tx, bank, ())).select(*names)]
+    assert sorted(map(tuple, none[0].collect()), key=str) == sorted(map(tuple, none[1].collect()), key=str)
+
+
+def test_pairs_copy_a_transaction_as_one_field(spark):
+    """Per pair nothing is derived from the transaction, and its rows are sorted by a hash first."""
+    import contextlib
+    import io
+
+    from payrecon.plans.payment_view import payment_view
+    from payrecon.plans.query import payment_query
+
+    def top(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("simple")
+        lines = out.getvalue().splitlines()
+        at = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line and "_bank_i" in line)
+        return lines[at - 1], lines[at]
+
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        tables = build(spark, checkout_v1=[PAY], bank=[{"auth": "A", "rrn": "R"}], **linked(1))
+        project, join = top(payment_view(tables))
+        assert "SortMergeJoin [_cell" in join
+        assert "_tx" in project and "= checkout_v1" not in project and "= tamara" not in project
+        project, _ = top(payment_query(tables, ["amount", "checkout_v1_payment_id", "bank_rrn"]))
+        assert "_tx#" not in project and "= checkout_v1" not in project
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
