@@ -170,3 +170,37 @@ def test_groups_that_meet_are_summed_where_the_join_left_them(small):
 
 def test_shuffles_begin_with_many_partitions(spark):
     assert ", 1000)" in plan(spark.range(10).groupBy((F.col("id") % 7).alias("k")).count())
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_a_staged_frame_are_gone_when_it_is_there(spark):
+    import time
+
+    from payrecon.session import staged
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key)
+    rows = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # executors are told without waiting for them
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 7 and spark.conf.get(key) == setting
+
+
+def test_matches_of_one_day_are_counted_after_those_of_any_day(spark):
+    from payrecon.operators import reconcile as rc
+
+    rows = [{"order": o, "pay": f"p{o}", "auth": f"a{o}", "rrn": f"r{o}", "status": "Capture"} for o in (1, 2)]
+    tables = build(spark, **linked(1, 2), checkout_v1=rows, bank=[{"auth": "a1", "rrn": "x"}, {"auth": "a2", "rrn": "r2"}])
+    kinds, real = [], rc.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rc, "staged", lambda df, n: kinds.append(n) or real(df, n))
+        got = pv.match_summary(tables, QueryOptions(flavour="script", auth_only_match=False)).collect()
+        assert kinds == ["signatures", "met", "met"]
+    assert sorted((r["bank_match_type"], r["n_rows"]) for r in got) == [
+        ("FALLBACK MATCH: Authorization Code + Same Day + Amount", 1), ("MATCH: Authorization Code + RRN + Amount", 1)]
