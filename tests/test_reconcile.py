@@ -313,3 +313,19 @@ def test_pairs_copy_a_transaction_as_one_field(spark):
         assert "_tx#" not in project and "= checkout_v1" not in project
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", old)
+
+
+@pytest.mark.parametrize("n, k, most_blocks, most_pairs", [
+    (3_000, 1_500, 80, 70_000),            # a group at sf0.1: tasks share its pairs
+    (1_080_000, 540_000, 4_300, 1.5e8),    # the same at 360 times: its rows go to some dozens of blocks each
+    (2_000, 500, 1, 1e6), (5_000_000, 1, 80, 70_000), (3, 2_000_000, 100, 70_000)])
+def test_blocks_of_a_large_group(spark, n, k, most_blocks, most_pairs):
+    t = rc.TIERS[5]
+    known = spark.range(1).select(F.lit("r").alias("final_rrn"), F.lit("a").alias("final_authorization_code"), F.lit(n).cast("long").alias("_n"),
+                                  F.lit(DAY).alias("transaction_date"), F.lit("100.00").cast("decimal(18,2)").alias("amount"))
+    lines = spark.range(k).select(F.lit("x").alias("bank_rrn"), F.lit("a").alias("bank_auth_code"), F.lit(DAY).alias("bank_transaction_date"),
+                                  F.lit(10_000).cast("long").alias("_bank_cents"))
+    met = rc._partners(known, lines, t, 1, True).select("_met1.*").first()
+    assert met["_a"] * met["_b"] <= most_blocks
+    assert n / met["_a"] * k / met["_b"] <= most_pairs
+    assert max(met["_a"], met["_b"]) <= 128
